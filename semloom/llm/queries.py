@@ -6,17 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprint, near_dedup, packing, quality, sharding
+import corpus_pipeline
+
+from . import fingerprint, language_id, near_dedup, packing, quality, sharding
 from .storage import table
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_language_id": lambda s, d: language_id.identify_languages(table(s, d, "documents")),
         "op3_best_fit_packing": lambda s, d: packing.pack_documents(table(s, d, "documents")),
         "op4_fingerprints": lambda s, d: fingerprint.fingerprint_documents(table(s, d, "documents")),
         "op5_sharding": lambda s, d: sharding.shard_documents(table(s, d, "documents")),
         "op6_quality_classifier": lambda s, d: quality.classify_documents(table(s, d, "documents"), table(s, d, "labels")),
         "op8_minhash_near_dedup": lambda s, d: near_dedup.near_duplicates(table(s, d, "documents")),
+        "pipeline": corpus_pipeline.run,
     }
 
 
