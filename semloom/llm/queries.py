@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from . import fingerprint, language_id, near_dedup, packing, quality, sharding, token_count
+from . import fingerprint, language_id, near_dedup, packing, quality, sampling, sharding, token_count
 from .storage import table
 
 
@@ -19,6 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_fingerprints": lambda s, d: fingerprint.fingerprint_documents(table(s, d, "documents")),
         "op5_sharding": lambda s, d: sharding.shard_documents(table(s, d, "documents")),
         "op6_quality_classifier": lambda s, d: quality.classify_documents(table(s, d, "documents"), table(s, d, "labels")),
+        "op7_sampled_segmentations": lambda s, d: sampling.sample_segmentations(table(s, d, "documents")),
         "op8_minhash_near_dedup": lambda s, d: near_dedup.near_duplicates(table(s, d, "documents")),
         "op9_token_counts": lambda s, d: token_count.count_tokens(table(s, d, "documents")),
         "pipeline": corpus_pipeline.run,

@@ -8,25 +8,27 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytes_text as bt
-from .unigram import MODEL, Vocabulary, load, units
+from .unigram import MODEL, load, units
 
 #: Units whose result a worker keeps; when there are more it starts anew, which only costs time.
 CACHE = 600_000
 SCHEMA = "doc_id bigint, n_tokens bigint, score double"
+_BETWEEN = "\ue000"  # for private use
 _automata: dict[str, object] = {}
 
 
 def automaton(path: str):
     """Over the pieces, with (length, score); made once in each process."""
     if path not in _automata:
-        import ahocorasick
-
+        if any(_BETWEEN in piece for piece in load(path).pieces):
+            raise ValueError(f"{path}: a piece has the character {ascii(_BETWEEN)}")
         a = ahocorasick.Automaton()
         for piece, (_, score) in load(path).pieces.items():
             a.add_word(piece, (len(piece), score))
@@ -40,10 +42,9 @@ def count_units(found: list[str], path: str) -> tuple[list[int], list[float]]:
 
     Ties go as in SentencePiece's unigram encoder: of equal scores at a position the piece that begins first stays, as a later
     one must be better. A character without a piece of its own costs ``unknown`` and its UTF-8 bytes."""
-    vocabulary: Vocabulary = load(path)
-    pieces, unknown = vocabulary.pieces, vocabulary.unknown
-    # one pass over all units, with a line break (in no piece) between them; scores run on and differences count
-    text = "\n".join(found) + "\n"
+    pieces, unknown = load(path).pieces, load(path).unknown
+    # one pass over all units, with a character that is in no piece between them; scores run on and differences count
+    text = _BETWEEN.join(found) + _BETWEEN
     best, count = [0.0] * (len(text) + 1), [0] * (len(text) + 1)
     strays = [i for i, c in enumerate(text) if c not in pieces] if not set(text) <= pieces.keys() else []
     strays.append(len(text))
@@ -87,29 +88,37 @@ def _stray(text, at, last, top, n, best, count, unknown) -> None:
         best[at + 1], count[at + 1] = now, count[at] + len(text[at].encode("utf-8", "surrogatepass"))
 
 
-class _Counter:
+class Counter:
+    """Counts texts, and keeps what it found for units, sorted by their hashes."""
+
     def __init__(self, path: str):
-        self.path, self.index = path, {}
-        self.tokens, self.scores = np.zeros(0, np.int64), np.zeros(0)
+        self.path = path
+        self.key, self.tokens, self.scores = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0)
 
     def add(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        cut = [units(t) for t in texts]
-        every = [u for c in cut for u in c]
-        if len(self.index) > CACHE:
-            self.__init__(self.path)
-        fresh = list(set(every).difference(self.index))
-        if fresh:
-            tokens, scores = count_units(fresh, self.path)
-            self.index.update(zip(fresh, range(len(self.index), len(self.index) + len(fresh))))
-            self.tokens, self.scores = np.r_[self.tokens, tokens], np.r_[self.scores, scores]
-        ids = np.fromiter(map(self.index.__getitem__, every), np.int64, len(every))
-        text = np.repeat(np.arange(len(texts)), [len(c) for c in cut])
-        return np.bincount(text, self.tokens[ids], len(texts)).astype(np.int64), np.bincount(text, self.scores[ids], len(texts))
+        found = units(texts, self.path)
+        at = np.searchsorted(self.key, found.key)
+        known = np.zeros(len(at), bool)
+        known[at < len(self.key)] = self.key[at[at < len(self.key)]] == found.key[at < len(self.key)]
+        fresh = np.flatnonzero(~known)
+        tokens, scores = np.zeros(len(at), np.int64), np.zeros(len(at))
+        tokens[known], scores[known] = self.tokens[at[known]], self.scores[at[known]]
+        if len(fresh):
+            end = np.cumsum(found.size)
+            every = found.points.tobytes().decode("utf-32-le", "surrogatepass")
+            tokens[fresh], scores[fresh] = count_units([every[end[i] - found.size[i] : end[i]] for i in fresh], self.path)
+            if len(self.key) > CACHE:
+                self.__init__(self.path)
+                at = np.zeros(len(at), np.int64)
+            put = at[fresh]
+            self.key, self.tokens, self.scores = (np.insert(a, put, b[fresh]) for a, b in ((self.key, found.key), (self.tokens, tokens), (self.scores, scores)))
+        each = lambda v: np.bincount(found.text, v[found.which], len(texts))
+        return each(tokens).astype(np.int64), each(scores)
 
 
 def _counted(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = _Counter(path)
+        counter = Counter(path)
         for batch in batches:
             if not batch.num_rows:
                 continue

@@ -1,22 +1,25 @@
 """A unigram vocabulary read from a SentencePiece model file: pieces and scores, and how text is cut into independent units.
 
-No piece has a space mark after another character and none has a line break, so no piece crosses from a word to the space mark
-after it or over a line break. A text's lattice is thus a chain of independent lattices, one for each unit: a run of space marks
-with the word after it, the rest of a word after a line break, or a line break. Units repeat; what is found for one holds for all.
+Where no piece has two characters next to each other, no piece crosses from one to the other, so a text's lattice is a chain of
+independent lattices. Such borders lie before space marks, at line breaks, before most punctuation. Units between them are short
+and repeat; what is found for one holds for all.
 """
 
 from __future__ import annotations
 
-import re
 from typing import NamedTuple
 
 import numpy as np
 
+from .bytes_text import mix
+
 #: SentencePiece model; any file of the same kind may be given.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-_RUNS = re.compile(f"({MARK}+)")
+_PAIR_BITS = 20
+_R = np.uint64(0x9E3779B97F4A7C15)
 _loaded: dict[str, "Vocabulary"] = {}
+_powers: dict[str, np.ndarray] = {}
 
 
 class Vocabulary(NamedTuple):
@@ -24,6 +27,7 @@ class Vocabulary(NamedTuple):
     unknown: float  # score of a character without a piece, as SentencePiece has it: 10 below the lowest
     byte: list[int]  # ids of the byte pieces
     surface: list[str | int]  # by id: text, or the byte
+    joined: np.ndarray  # hash of two characters -> whether some piece has them next to each other
 
 
 def load(path: str = MODEL) -> Vocabulary:
@@ -35,8 +39,6 @@ def load(path: str = MODEL) -> Vocabulary:
         n = sp.get_piece_size()
         special = [sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i) for i in range(n)]
         pieces = {sp.id_to_piece(i): (i, sp.get_score(i)) for i in range(n) if not special[i]}
-        if any(MARK in p.lstrip(MARK) or "\n" in p for p in pieces):
-            raise ValueError(f"{path}: a piece crosses words or lines, so units aren't independent")
         byte = [-1] * 256
         surface: list[str | int] = [p if p in pieces else "" for p in map(sp.id_to_piece, range(n))]
         for i in range(n):
@@ -45,17 +47,59 @@ def load(path: str = MODEL) -> Vocabulary:
                 byte[value], surface[i] = i, value
         if min(byte) < 0:
             raise ValueError(f"{path}: it lacks byte pieces, so not every text has an encoding")
-        _loaded[path] = Vocabulary(pieces, min(s for _, s in pieces.values()) - 10, byte, surface)
+        x, y = (code_points("".join(p[k : len(p) - 1 + k] for p in pieces)) for k in (0, 1))
+        joined = np.zeros(1 << _PAIR_BITS, bool)
+        joined[_pair(x, y)] = True
+        _loaded[path] = Vocabulary(pieces, min(s for _, s in pieces.values()) - 10, byte, surface, joined)
     return _loaded[path]
 
 
-def units(text: str) -> list[str]:
-    """The units of a text, in order; some may be empty. Their concatenation is the text with marks for spaces, one in front."""
-    if not text:
-        return []
-    s = MARK + text.replace(" ", MARK)
-    s = _RUNS.sub(r" \1", s) if MARK + MARK in s else s.replace(MARK, " " + MARK)
-    return s.replace("\n", " \n ").split(" ")
+def _pair(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return ((x * np.uint32(0x9E3779B1)) ^ (y * np.uint32(0x85EBCA77))) >> np.uint32(32 - _PAIR_BITS)
+
+
+class Units(NamedTuple):
+    """The units of some texts, laid end to end, and the different ones among them."""
+
+    text: np.ndarray  # of each unit
+    which: np.ndarray  # of each unit: its number among the different ones
+    points: np.ndarray  # code points of the different ones, end to end
+    size: np.ndarray  # their lengths
+    key: np.ndarray  # their hashes
+
+
+def rolling(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(sums, inverse powers): points[a:b] has the hash (sums[b] - sums[a]) * inverse[a]."""
+    n = len(points)
+    if len(_powers.get("r", ())) <= n:
+        m = 1 << max(20, n.bit_length())
+        for name, base in (("r", _R), ("ri", np.uint64(pow(int(_R), -1, 1 << 64)))):
+            _powers[name] = np.full(m, base)
+            _powers[name][0] = 1
+            np.multiply.accumulate(_powers[name], out=_powers[name])
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(mix(points.astype(np.uint64) + np.uint64(1)) * _powers["r"][:n], out=sums[1:])
+    return sums, _powers["ri"][: n + 1]
+
+
+def units(texts: list[str], path: str = MODEL) -> Units:
+    """With marks for spaces and one in front, as SentencePiece has it; an empty text has no unit."""
+    points = code_points("".join([MARK + t for t in texts if t]).replace(" ", MARK))
+    length = np.array([len(t) + 1 if t else 0 for t in texts], np.int64)
+    border = np.cumsum(length)
+    if not len(points):
+        z = np.zeros(0, np.int64)
+        return Units(z, z, points, z, np.zeros(0, np.uint64))
+    head = np.ones(len(points), bool)
+    head[1:] = ~load(path).joined[_pair(points[:-1], points[1:])]
+    head[(border - length)[length > 0]] = True
+    start = np.flatnonzero(head)
+    end = np.r_[start[1:], len(points)]
+    sums, inverse = rolling(points)
+    key, at, which = np.unique((sums[end] - sums[start]) * inverse[start] + (end - start).astype(np.uint64), return_index=True, return_inverse=True)
+    start, size = start[at], (end - start)[at]
+    inside = np.repeat(start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+    return Units(np.searchsorted(border, np.flatnonzero(head), "right"), which, points[inside], size, key)
 
 
 def decode(ids: list[int], path: str = MODEL) -> str:
