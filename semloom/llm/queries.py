@@ -8,12 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from . import fingerprint, language_id, near_dedup, packing, quality, sampling, sharding, token_count
+from . import fingerprint, language_id, lm_scoring, near_dedup, packing, quality, sampling, sharding, token_count
 from .storage import table
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_lm_scoring": lambda s, d: lm_scoring.score_texts(table(s, d, "benchmark"), table(s, d, "documents")),
         "op2_language_id": lambda s, d: language_id.identify_languages(table(s, d, "documents")),
         "op3_best_fit_packing": lambda s, d: packing.pack_documents(table(s, d, "documents")),
         "op4_fingerprints": lambda s, d: fingerprint.fingerprint_documents(table(s, d, "documents")),
