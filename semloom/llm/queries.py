@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from . import fingerprint, language_id, lm_scoring, near_dedup, packing, quality, sampling, sharding, token_count
+from . import embedding_dedup, fingerprint, language_id, lm_scoring, near_dedup, packing, quality, sampling, sharding, token_count
 from .storage import table
 
 
@@ -23,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_sampled_segmentations": lambda s, d: sampling.sample_segmentations(table(s, d, "documents")),
         "op8_minhash_near_dedup": lambda s, d: near_dedup.near_duplicates(table(s, d, "documents")),
         "op9_token_counts": lambda s, d: token_count.count_tokens(table(s, d, "documents")),
+        "op10_embedding_near_dedup": lambda s, d: embedding_dedup.near_duplicate_vectors(table(s, d, "embeddings")),
         "pipeline": corpus_pipeline.run,
     }
 
