@@ -24,20 +24,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytes_text as bt
-from .unigram import MODEL, code_points, load, rolling, units
+from .unigram import MODEL, Units, code_points, load, rolling, units
 
 SAMPLES = 2
 #: Inverse temperature of the piece scores.
 ALPHA = 0.001
-#: Text bytes sampled at a time; the more, the more units repeat, and the more memory the lattices take (some 50 times this).
-STEP_BYTES = 2 << 20
+#: Text bytes sampled at a time, and how many such steps share a lattice: the more, the more units repeat, and the more memory it takes.
+STEP_BYTES, SHARED_STEPS = 1 << 20, 5
 SCHEMA = "doc_id bigint, sample int, ids array<int>, log_prob double, inclusion double"
 _TABLE_BITS = 20
 _tables: dict[str, tuple] = {}
 
 
 def _lookup(path: str) -> tuple:
-    """(slot -> first place, most in a slot, sorted hashes, ids in that order, longest piece, score by id): a piece is found by the top bits of its hash."""
+    """(slot -> first place, most in a slot, slot -> whether some piece begins so, sorted hashes, ids in that order, longest piece, score by id): a piece is found by the top bits of its hash."""
     if path not in _tables:
         v = load(path)
         names = list(v.pieces)
@@ -51,10 +51,14 @@ def _lookup(path: str) -> tuple:
         ids = np.array([v.pieces[p][0] for p in names], np.int32)[order]
         slots = np.searchsorted(h[order], np.arange(1 << _TABLE_BITS, dtype=np.uint64) << np.uint64(64 - _TABLE_BITS)).astype(np.int32)
         shared = int(np.diff(np.r_[slots, len(h)]).max())
+        begins = np.zeros(1 << _TABLE_BITS, bool)
+        for n in range(1, max(map(len, names)) + 1):
+            long = starts[ends - starts >= n]
+            begins[(((sums[long + n] - sums[long]) * ri[long]) >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)] = True
         scores = np.zeros(len(v.surface))
-        for _, (i, s) in v.pieces.items():
-            scores[i] = s
-        _tables[path] = slots, shared, h[order], ids, max(map(len, names)), scores
+        for _, (i, score) in v.pieces.items():
+            scores[i] = score
+        _tables[path] = slots, shared, begins, h[order], ids, max(map(len, names)), scores
     return _tables[path]
 
 
@@ -63,8 +67,10 @@ class Lattice(NamedTuple):
 
     source: np.ndarray  # node each edge begins at
     log_p: np.ndarray  # of the edge, given the node it ends at
-    row: np.ndarray  # node -> its first edge
-    ladder: np.ndarray  # running probability within the node, plus the node's number
+    row: np.ndarray  # node -> its first edge; one more at the end
+    best: np.ndarray  # node -> its likeliest edge
+    share: np.ndarray  # node -> that edge's probability
+    ladder: np.ndarray  # running probability of the node's other edges, scaled to 1, plus the node's number
     pool: np.ndarray  # edge -> its first output id
     width: np.ndarray  # edge -> number of output ids
     out: np.ndarray  # output ids
@@ -72,10 +78,30 @@ class Lattice(NamedTuple):
     last: np.ndarray  # unit -> its last node
 
 
+def joined(parts: list[Lattice]) -> Lattice:
+    """One lattice of the units of all; empties ``parts``, an array at a time, so that there are never two whole copies."""
+    nodes = np.cumsum([0] + [len(x.best) for x in parts])
+    edges = np.cumsum([0] + [len(x.source) for x in parts])
+    outs = np.cumsum([0] + [len(x.out) for x in parts])
+    by = {
+        "source": nodes, "row": edges, "best": edges, "ladder": nodes, "pool": outs, "first": nodes, "last": nodes,
+    }
+    columns, held = {}, [x._asdict() for x in parts]
+    parts.clear()
+    for name in Lattice._fields:
+        values = [x.pop(name) for x in held]
+        if name == "row":
+            values = [v[:-1] for v in values[:-1]] + values[-1:]
+        if name in by:
+            values = [v + v.dtype.type(o) for v, o in zip(values, by[name])]
+        columns[name] = np.concatenate(values)
+    return Lattice(**columns)
+
+
 def lattice(points: np.ndarray, size: np.ndarray, path: str = MODEL, alpha: float = ALPHA) -> Lattice:
     """Of units laid end to end, of the given lengths."""
     vocabulary = load(path)
-    slots, shared, hashes, piece_ids, longest, scores = _lookup(path)
+    slots, shared, begins, hashes, piece_ids, longest, scores = _lookup(path)
     end = np.cumsum(size).astype(np.int32)
     begin = end - size.astype(np.int32)
     sums, ri = rolling(points)
@@ -88,7 +114,9 @@ def lattice(points: np.ndarray, size: np.ndarray, path: str = MODEL, alpha: floa
         if not len(here):
             break
         h = (sums[here + n] - sums[here]) * ri[here]
-        k = slots[(h >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)]
+        slot = (h >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)
+        on = begins[slot]  # else no piece is this long or longer from there
+        here, h, k = here[on], h[on], slots[slot[on]]
         hit = np.zeros(len(here), bool)
         which = np.zeros(len(here), np.int32)
         for step in range(shared):
@@ -132,14 +160,19 @@ def lattice(points: np.ndarray, size: np.ndarray, path: str = MODEL, alpha: floa
     log_p = mass[source] + weight - mass[target]
     row = np.r_[0, np.cumsum(np.bincount(target, minlength=nodes))]
     p = np.exp(log_p)
-    run = np.r_[0.0, np.cumsum(p)]
     degree = np.diff(row)
-    before = np.repeat(run[row[:-1]], degree)
-    within = run[1:] - before
-    total = np.repeat(run[row[1:]], degree) - before
-    ladder = target + np.minimum(within / total, 1.0)
-    ladder[row[1:][np.diff(row) > 0] - 1] = target[row[1:][np.diff(row) > 0] - 1] + 1.0
-    width, out = np.ones(len(piece), np.int64), piece.copy()
+    some = np.flatnonzero(degree)
+    share, best = np.ones(nodes), np.zeros(nodes, np.int64)
+    if len(some):
+        share[some] = np.maximum.reduceat(p, row[some])
+        top = np.flatnonzero(p == np.repeat(share, degree))[::-1]
+        best[target[top]] = top  # of equals the first
+        p[best[some]] = 0
+    run = np.r_[0.0, np.cumsum(p)]
+    within = run[1:] - np.repeat(run[row[:-1]], degree)
+    total = np.repeat(run[row[1:]] - run[row[:-1]], degree)
+    ladder = target + np.minimum(within / np.maximum(total, 1e-300), 1.0)
+    width, out = np.ones(len(piece), np.int32), piece.copy()
     odd = np.flatnonzero(piece < 0)
     if len(odd):
         raw = [chr(c).encode("utf-8", "surrogatepass") for c in points[stray[-1 - piece[odd]]]]
@@ -148,7 +181,7 @@ def lattice(points: np.ndarray, size: np.ndarray, path: str = MODEL, alpha: floa
         out = np.repeat(piece, width)
         for k, x in zip(start[odd], raw):
             out[k : k + len(x)] = [vocabulary.byte[c] for c in x]
-    return Lattice(source, log_p, row, ladder, np.cumsum(width) - width, width, out, first, last)
+    return Lattice(source, log_p, row, best, share, ladder, np.cumsum(width, dtype=np.int32) - width, width, out, first, last)
 
 
 def _uniform(key: np.ndarray, sample: int, place: np.ndarray, step: int) -> np.ndarray:
@@ -179,7 +212,10 @@ def _draw(lat: Lattice, unit: np.ndarray, key: np.ndarray, sample: int, place: n
     live = np.flatnonzero(node > stop)
     taken, owners, step = [], [], 0
     while len(live):
-        edge = np.searchsorted(lat.ladder, node[live] + _uniform(key[live], sample, place[live], step), "left")
+        here, u = node[live], _uniform(key[live], sample, place[live], step)
+        edge, share = lat.best[here], lat.share[here]
+        rest = np.flatnonzero(u > share)
+        edge[rest] = np.searchsorted(lat.ladder, here[rest] + np.clip((u[rest] - share[rest]) / (1 - share[rest]), 1e-9, 1 - 1e-9), "left")
         log_p[live] += lat.log_p[edge]
         node[live] = lat.source[edge]
         taken.append(edge)
@@ -240,9 +276,11 @@ def _cut_gumbel(location: np.ndarray, top: np.ndarray, u: np.ndarray) -> np.ndar
 def sample_texts(texts: list[str], keys: np.ndarray, k: int = SAMPLES, path: str = MODEL, alpha: float = ALPHA):
     """For each sample number: (texts that have it, ids laid end to end, their counts, log-probabilities, inclusion scores)."""
     found = units(texts, path)
-    unit, text = found.which, found.text
-    lat = lattice(found.points, found.size, path, alpha)
-    n = len(texts)
+    return sample_units(found.text, found.which, lattice(found.points, found.size, path, alpha), len(texts), keys, k)
+
+
+def sample_units(text: np.ndarray, unit: np.ndarray, lat: Lattice, n: int, keys: np.ndarray, k: int):
+    """``sample_texts`` of ``n`` texts given as units of a lattice, in order."""
     number = np.bincount(text, minlength=n)
     border = np.r_[0, np.cumsum(number)]
     place = np.arange(len(unit)) - border[text]
@@ -353,6 +391,21 @@ def row_keys(ids: pa.Array, seed: int) -> np.ndarray:
     return bt.mix(raw + bt.mix(np.array([seed], np.uint64)))
 
 
+def _shared(found: list[Units], path: str, alpha: float) -> tuple[Lattice, list[np.ndarray]]:
+    """One lattice of the different units of all, and where in it each one's are."""
+    keys, first, where = np.unique(np.concatenate([f.key for f in found]), return_index=True, return_inverse=True)
+    border = np.cumsum([0] + [len(f.key) for f in found])
+    order = np.empty(len(keys), np.int64)
+    order[np.argsort(first)] = np.arange(len(keys))  # number of a unit in the joint lattice: by first occurrence
+    parts = []
+    for f, a, b in zip(found, border[:-1], border[1:]):
+        new = np.sort(first[(first >= a) & (first < b)]) - a
+        start, size = (np.cumsum(f.size) - f.size)[new], f.size[new]
+        inside = np.repeat(start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+        parts.append(lattice(f.points[inside], size, path, alpha))
+    return joined(parts), [order[where[a:b]] for a, b in zip(border[:-1], border[1:])]
+
+
 def _sampled(k: int, path: str, alpha: float, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -361,13 +414,18 @@ def _sampled(k: int, path: str, alpha: float, seed: int):
                 continue
             ids, texts = batch.column(0).cast(pa.int64()), bt.to_string(batch.column(1))
             keys = row_keys(ids, seed)
-            for i, j, _, _ in bt.steps(texts, STEP_BYTES):
-                for s, (rows, pieces, count, log_p, inclusion) in enumerate(sample_texts(texts.slice(i, j - i).to_pylist(), keys[i:j], k, path, alpha)):
-                    border = np.r_[0, np.cumsum(count)].astype(np.int32)
-                    yield pa.record_batch(
-                        [ids.slice(i, j - i).take(pa.array(rows)), pa.array(np.full(len(rows), s, np.int32)), pa.ListArray.from_arrays(pa.array(border), pa.array(pieces)), pa.array(log_p), pa.array(inclusion)],
-                        names=["doc_id", "sample", "ids", "log_prob", "inclusion"],
-                    )
+            slices = [(i, j) for i, j, _, _ in bt.steps(texts, STEP_BYTES)]
+            for a in range(0, len(slices), SHARED_STEPS):
+                group = slices[a : a + SHARED_STEPS]
+                found = [units(texts.slice(i, j - i).to_pylist(), path) for i, j in group]
+                lat, which = _shared(found, path, alpha)
+                for (i, j), f, w in zip(group, found, which):
+                    for s, (rows, pieces, count, log_p, inclusion) in enumerate(sample_units(f.text, w[f.which], lat, j - i, keys[i:j], k)):
+                        border = np.r_[0, np.cumsum(count)].astype(np.int32)
+                        yield pa.record_batch(
+                            [ids.slice(i, j - i).take(pa.array(rows)), pa.array(np.full(len(rows), s, np.int32)), pa.ListArray.from_arrays(pa.array(border), pa.array(pieces)), pa.array(log_p), pa.array(inclusion)],
+                            names=["doc_id", "sample", "ids", "log_prob", "inclusion"],
+                        )
 
     return run
 
