@@ -44,7 +44,8 @@ def main(argv: list[str] | None = None) -> int:
         return 0
     spark = SparkSession.builder.appName("semloom").getOrCreate()
     engine = Engine(spark, config)
-    engine.verdict = engine.open(background=False) if args.command in ("update", "search", "verify", None, "status") else engine.verdict
+    if args.command not in ("build", "import"):
+        engine.open(background=False)
     if args.command == "build":
         model = engine.build()
         print(f"{model.vocabulary.where('idx IS NOT NULL').count()} words from {model.sentences} sentences")

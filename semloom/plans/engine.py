@@ -71,11 +71,11 @@ class Engine:
     # opening and upkeep
 
     def open(self, background: bool = True) -> lifecycle.Verdict:
-        """Look at what is stored, heal or re-encode what can be, and build if needed (``background``: in a thread)."""
+        """The verdict on what is stored; heals or re-encodes what can be, and builds if needed (``background``: in a thread)."""
         meta = self.store.manifest()["meta"]
         highest = self._highest()
         words, vectors, width = self._shape()
-        self.verdict = lifecycle.judge(meta, words, vectors, width, highest, self.config.dim, self.config.window)
+        found = self.verdict = lifecycle.judge(meta, words, vectors, width, highest, self.config.dim, self.config.window)
         self.notice = self.verdict.notice
         if self.verdict.state == "healed":
             self.store.set_meta("tokenizer_fingerprint", self._fingerprint())
@@ -88,7 +88,7 @@ class Engine:
                 self.building.start()
             else:
                 self._build_safely()
-        return self.verdict
+        return found
 
     def close(self) -> None:
         self.opened = False
