@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Text bytes that one vectorised step works on; temporaries are some tens of times this. A longer document is a step of its own.
-STEP_BYTES = 1 << 20
+STEP_BYTES = 1 << 19
 _R = np.uint64(0x9E3779B97F4A7C15 | 1)
 _RI = np.uint64(pow(int(_R), -1, 1 << 64))
 _pow: dict[str, np.ndarray] = {}
