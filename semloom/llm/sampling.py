@@ -435,7 +435,8 @@ def sample_segmentations(docs: DataFrame, k: int = SAMPLES, path: str = MODEL, a
 
     ``sample`` counts from 0 in the order drawn; ``log_prob`` is the segmentation's log-probability under piece scores times
     ``alpha``; ``inclusion`` the log-probability that it is among ``k`` draws, given the key after them. Decoding any gives the text.
-    A text with fewer than ``k`` segmentations gives all it has (inclusion 0). Null text: no row. Empty text: one row without ids.
+    A text with fewer than ``k`` segmentations gives all it has (inclusion 0); those whose share of their unit is below about 1e-12 don't
+    count. Null text: no row. Empty text: one row without ids.
     The seed of a row is its doc_id (and ``seed``), so repeated rows have the same samples; a null doc_id is a key of its own. An empty
     table gives no rows. Columns but doc_id and text are not looked at. No shuffle.
     """

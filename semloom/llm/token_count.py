@@ -135,8 +135,9 @@ def _counted(path: str):
 def count_tokens(docs: DataFrame, path: str = MODEL) -> DataFrame:
     """(doc_id, n_tokens, score) for each row of ``docs`` (doc_id, text), without a shuffle.
 
-    ``score`` is the sum of the best segmentation's piece scores over the whole text, in double precision (SentencePiece itself
-    sums in single precision, so beyond sums of 2**24 its choice among near ties may differ). Null text: null count and score.
+    ``score`` is the sum of the best segmentation's piece scores over the whole text, in double precision, where the scores of the
+    vocabulary file are exact. SentencePiece's own fast path sums in single precision: where sums pass 2**24, or a model has scores
+    such as -1e9, it takes near ties for ties. Null text: null count and score.
     Empty text: 0 and 0. Repeated rows and a null doc_id: a row each. An empty table gives no rows. Columns but doc_id and text are
     not looked at. ``path`` is the vocabulary's file, which every executor must have.
     """
