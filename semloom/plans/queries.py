@@ -217,10 +217,9 @@ def fused_search(spark, d):
     model = training.train(sentences(spark, d), training.Settings(DIM))
     weights = encoding.idf(docs(spark, d))
     asked = _table(spark, d, "benchmark").select(F.col("item_id").alias("id"), "text")
-    queries_ = encoding.encode(asked, model.vectors, weights, DIM).select(F.col("id").alias("item"), F.col("vector").alias("q"))
+    queries_ = encoding.encode(asked, model.vectors, weights, DIM).select(F.col("id").alias("item"), "vector")
     vectors = encoding.encode_all(docs(spark, d), model.vectors, DIM, weights)
-    best = Window.partitionBy("item").orderBy(F.desc("score"), "id")
-    by_meaning = vectors.crossJoin(F.broadcast(queries_)).select("item", "id", V.dot(F.col("vector"), F.col("q")).alias("score")).withColumn("rank", F.row_number().over(best) - 1).where("rank < 20 AND score > 0.01")
+    by_meaning = encoding.nearest_many(vectors, queries_, 20, 0.01)
     index = _index(spark, d)
     words = asked.select(F.col("id").alias("item"), F.explode(F.array_distinct(lexical.terms(F.col("text")))).alias("term"))
     hits = index.postings.join(F.broadcast(words), "term").groupBy("item", "id").agg(F.count("*").alias("n"), F.sum("tf").alias("tf"))

@@ -80,6 +80,13 @@ def test_idf_and_zero_vectors(spark):
     vectors = spark.createDataFrame([("alpha", [1.0, 0.0]), ("gamma", [0.0, 1.0])], "word string, memory array<float>")
     got = {r["id"]: np.array(r["vector"]) for r in encoding.encode_all(docs, vectors, 2).collect()}
     want = np.array([2 * np.log(3 / 2), np.log(3)])
+    joined = {r["id"]: r["vector"] for r in encoding.encode_joined(docs, vectors, encoding.idf(docs), 2).collect()}
+    assert joined == {i: v.tolist() for i, v in got.items() if v.any()}
+    table = encoding.encode_all(docs, vectors, 2)
+    asked = spark.createDataFrame([(7, [1.0, 0.0]), (8, [0.0, 1.0])], "item bigint, vector array<float>")
+    many = {(r["item"], r["rank"]): r["id"] for r in encoding.nearest_many(table, asked, 2).collect()}
+    one = {(i, r["rank"]): r["id"] for i, q in ((7, [1.0, 0.0]), (8, [0.0, 1.0])) for r in encoding.nearest(table, np.array(q), 2).collect()}
+    assert many == one and encoding.nearest_many(table, asked, 3, 0.5).count() == 3
     assert np.allclose(got[2], want / np.linalg.norm(want), atol=1e-6) and np.allclose(got[1], [1, 0]) and not got[3].any()
 
 
