@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import hashlib
-from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+CACHED = 1 << 24
+_made: dict[int, dict[str, np.ndarray]] = {}
+
 
 def identity_numbers(word: str, dim: int) -> np.ndarray:
     """``dim`` 16-bit numbers from counted SHA-256 blocks: the same on every machine."""
@@ -16,12 +18,17 @@ def identity_numbers(word: str, dim: int) -> np.ndarray:
     return np.frombuffer(blocks, "<u2", dim)
 
 
-@lru_cache(maxsize=4096)
 def identity(word: str, dim: int) -> np.ndarray:
-    """Unit vector of a word, float32; the last few thousand are kept in each process."""
-    v = identity_numbers(word, dim) / 32768.0 - 1.0
-    v = (v / np.linalg.norm(v)).astype(np.float32)
-    v.flags.writeable = False
+    """Unit vector of a word, float32; each process keeps what it made, up to CACHED numbers, and then starts anew."""
+    made = _made.setdefault(dim, {})
+    v = made.get(word)
+    if v is None:
+        v = identity_numbers(word, dim) / 32768.0 - 1.0
+        v = (v / np.linalg.norm(v)).astype(np.float32)
+        v.flags.writeable = False
+        if len(made) * dim >= CACHED:
+            made.clear()
+        made[word] = v
     return v
 
 

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Iterator
 from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -61,11 +64,33 @@ class Index(NamedTuple):
     lengths: DataFrame
 
 
+def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        lists = batch.column("terms")
+        coded = lists.flatten().dictionary_encode()
+        codes = coded.indices.to_numpy().astype(np.int64)
+        size = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
+        row = np.repeat(np.arange(len(size)), size)
+        position = (np.arange(len(codes)) - np.repeat(np.cumsum(size) - size, size)).astype(np.int32)
+        key = row * (len(coded.dictionary) + 1) + codes
+        order = np.argsort(key, kind="stable")
+        first = np.flatnonzero(np.r_[True, np.diff(key[order]) != 0]) if len(key) else np.zeros(0, np.int64)
+        border = np.r_[first, len(key)].astype(np.int32)
+        yield pa.record_batch(
+            [
+                coded.dictionary.take(pa.array(codes[order][first])).cast(pa.string()), batch.column("id").cast(pa.int64()).take(pa.array(row[order][first])),
+                pa.array(np.diff(border).astype(np.int64)), pa.ListArray.from_arrays(pa.array(border), pa.array(position[order])),
+            ],
+            names=["term", "id", "tf", "positions"],
+        )
+
+
 def build_index(docs: DataFrame, fold: bool = True) -> Index:
-    """Of ``docs`` (id, text)."""
+    """Of ``docs`` (id, text), one row an id. A document's postings are all in its row, so nothing is shuffled."""
     split = docs.select("id", terms(F.col("text"), fold).alias("terms"))
-    places = split.select("id", F.posexplode("terms").alias("position", "term"))
-    postings = places.groupBy("term", "id").agg(F.count("*").alias("tf"), F.array_sort(F.collect_list("position")).alias("positions"))
+    postings = split.mapInArrow(_postings, "term string, id bigint, tf bigint, positions array<int>")
     return Index(postings, split.select("id", F.size("terms").alias("length")))
 
 
