@@ -7,7 +7,8 @@ streams over rows sorted by word and place.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import cache
 from typing import NamedTuple
 
 import numpy as np
@@ -27,12 +28,17 @@ class Settings(NamedTuple):
 
 
 class Model(NamedTuple):
-    """vocabulary: (word, count, idx), idx null below the threshold; vectors: (word, memory) of the words with an idx."""
+    """vocabulary: (word, count, idx), idx null below the threshold; vectors: (word, memory) of the words with an idx; both are plans."""
 
     vocabulary: DataFrame
     vectors: DataFrame
     settings: Settings
-    sentences: int
+    counted: Callable[[], int]
+
+    @property
+    def sentences(self) -> int:
+        """How many the model was trained on; counted when first asked for."""
+        return self.counted()
 
 
 def occurrences(sentences: DataFrame) -> DataFrame:
@@ -84,8 +90,8 @@ def indexed(limits: DataFrame, tokens: DataFrame, first: int = 0, buckets: int =
 
     Ranks are taken within ranges of doc_seq and added up from the ranges' counts, so no task sorts the whole vocabulary."""
     starts = eligible(tokens, limits).groupBy("word").agg(F.min(F.struct(*PLACE, "position")).alias("at")).select("word", "at.*")
-    width = F.lit(limits.agg(F.max("from_doc_seq")).collect()[0][0] or 0) / buckets + 1
-    placed = starts.withColumn("range", F.floor(F.col("doc_seq") / width))
+    width = starts.agg((F.coalesce(F.max("doc_seq"), F.lit(0)) / buckets + 1).alias("width"))
+    placed = starts.crossJoin(F.broadcast(width)).withColumn("range", F.floor(F.col("doc_seq") / F.col("width"))).drop("width")
     counts = placed.groupBy("source", "range").count()
     so_far = Window.orderBy("source", "range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumn("offset", F.coalesce(F.sum("count").over(so_far), F.lit(0))).drop("count")
@@ -160,16 +166,15 @@ def train(sentences: DataFrame, settings: Settings = Settings(), prior: Model |
     limits = thresholds(tokens, settings.min_count, old)
     live = eligible(tokens, limits)
     vectors = fold(contexts(live, settings.window), settings.dim, prior.vectors if prior else None)
-    n = sentences.count()
     if prior is None:
         vocabulary = limits.join(indexed(limits, tokens), "word", "left").select("word", F.col("total").alias("count"), "idx")
-        return Model(vocabulary, vectors, settings, n)
+        return Model(vocabulary, vectors, settings, cache(sentences.count))
     size = old.where("idx IS NOT NULL").count()
     fresh = limits.join(old.where("idx IS NOT NULL").select("word"), "word", "left_anti")
     numbers = indexed(fresh, tokens, size)
     now = limits.select("word", "total").join(old, "word", "full").join(numbers.withColumnRenamed("idx", "new"), "word", "left")
     vocabulary = now.select("word", F.coalesce("total", "count").alias("count"), F.coalesce("idx", "new").alias("idx"))
-    return Model(vocabulary, vectors, settings, prior.sentences + n)
+    return Model(vocabulary, vectors, settings, cache(lambda: prior.sentences + sentences.count()))
 
 
 def word_cosine(model: Model, a: str, b: str) -> float:

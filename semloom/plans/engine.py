@@ -121,7 +121,8 @@ class Engine:
             return None
         vocabulary, vectors = self.store.read("vocabulary"), self.store.read("vectors")
         settings = training.Settings(self.config.dim, self.config.window, self.config.min_count)
-        return training.Model(vocabulary, vectors, settings, int(self.store.get_meta("consumed_sentences", 0) or 0))
+        seen = int(self.store.get_meta("consumed_sentences", 0) or 0)
+        return training.Model(vocabulary, vectors, settings, lambda: seen)
 
     def _build_safely(self) -> None:
         try:
@@ -135,10 +136,12 @@ class Engine:
         highest = self._highest()
         sentences = corpus.read_corpus(self.spark, self.config.corpus, self.config.format, until=highest if self.config.format == "sessions" else None)
         settings = training.Settings(self.config.dim, self.config.window, self.config.min_count)
+        sentences = sentences.persist()  # tokenized once for all that reads it
         total = sentences.count()
         self.progress = (0, total) if total else None
         model = training.train(sentences, settings)
         self._commit_model(model, highest)
+        sentences.unpersist()
         self.progress = None
         self.verdict = lifecycle.Verdict("current", True, False)
         if self.facts().limit(1).count():
@@ -176,14 +179,17 @@ class Engine:
         """Train on with later sentences, and set the mark of the last message seen."""
         model = self.model()
         before = model.vocabulary.where("idx IS NOT NULL").count()
+        sentences = sentences.persist()
         after = training.train(sentences, model.settings, model)
+        taken = sentences.count()
         self._commit_model(after, highest)
+        sentences.unpersist()
         new = self.store.read("vocabulary").where("idx IS NOT NULL").count() - before
         if new > lifecycle.LEAKED_WORDS:
             log.warning("%d new words at once; does the corpus hold what it shouldn't?", new)
         if self.facts().limit(1).count():
             self.rebuild_cache()
-        return after.sentences - model.sentences
+        return taken
 
     def rebuild_cache(self) -> None:
         """Encode all facts anew."""

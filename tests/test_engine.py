@@ -15,7 +15,7 @@ from semloom.streaming import updates
 
 def session_db(path, rows):
     db = sqlite3.connect(path)
-    db.execute("CREATE TABLE IF NOT EXISTS messages (id INTEGER PRIMARY KEY AUTOINCREMENT, session_id TEXT, role TEXT, content TEXT, tool_calls TEXT, active INTEGER DEFAULT 1, compacted INTEGER DEFAULT 0)")
+    db.execute("CREATE TABLE IF NOT EXISTS messages (id INTEGER PRIMARY KEY AUTOINCREMENT, compacted INT DEFAULT 0, active INT DEFAULT 1, content TEXT, role TEXT, tool_calls TEXT, session_id TEXT)")
     db.executemany("INSERT INTO messages (session_id, role, content, active, compacted) VALUES ('s', ?, ?, ?, ?)", rows)
     db.commit()
     db.close()
