@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: The word rule that fingerprints stand for.
 WORD_PATTERN = r"[^\W_][\w'\-=]*"
+LINK = r"https?://\S+"
+#: Words that a sentence must have to be trained on.
 MIN_WORDS = 3
 SHORTEST, LONGEST, HASH_LENGTH = 2, 25, 20
 NUMBER = "<NUM>"
@@ -45,14 +47,14 @@ def tokenize(text: Column, normalize: bool = True) -> Column:
     """Words of a text in order, numbers as one token, then the two-character windows of unspaced scripts.
 
     Only ``normalize`` leaves the JVM; texts that are known to be composed need it not."""
-    clean = F.regexp_replace(F.lower(nfkc(text) if normalize else text), r"(?U)https?://\S+", " ")
+    clean = F.regexp_replace(F.lower(nfkc(text) if normalize else text), f"(?U){LINK}", " ")
     pairs = F.regexp_extract_all(clean, F.lit(f"(?=([{UNSPACED}]{{2}}))"), F.lit(1))
     spaced = F.regexp_replace(clean, f"[{UNSPACED}]", " ")
     words = F.filter(F.regexp_extract_all(spaced, F.lit(r"[\p{L}\p{N}][\p{L}\p{N}_'\-=]*"), F.lit(0)), valid)
     return F.concat(F.transform(words, lambda w: F.when(w.rlike("^[0-9]+$"), F.lit(NUMBER)).otherwise(w)), pairs)
 
 
-_url, _word, _unspaced = re.compile(r"https?://\S+"), re.compile(WORD_PATTERN), re.compile(f"[{UNSPACED}]")
+_url, _word, _unspaced = re.compile(LINK), re.compile(WORD_PATTERN), re.compile(f"[{UNSPACED}]")
 _windows = re.compile(f"(?=([{UNSPACED}]{{2}}))")
 
 

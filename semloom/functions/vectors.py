@@ -12,13 +12,13 @@ CACHED = 1 << 24
 _made: dict[int, dict[str, np.ndarray]] = {}
 
 
-def identity_numbers(word: str, dim: int) -> np.ndarray:
+def identity_numbers(word: str, dim: int):
     """``dim`` 16-bit numbers from counted SHA-256 blocks: the same on every machine."""
     blocks = b"".join(hashlib.sha256(b"%s:%d" % (word.encode(), i)).digest() for i in range(-(-dim // 16)))
     return np.frombuffer(blocks, "<u2", dim)
 
 
-def identity(word: str, dim: int) -> np.ndarray:
+def identity(word: str, dim: int):
     """Unit vector of a word, float32; each process keeps what it made, up to CACHED numbers, and then starts anew."""
     made = _made.setdefault(dim, {})
     v = made.get(word)
@@ -63,6 +63,6 @@ def scaled(a: Column) -> Column:
     return F.when(norm(a) > 0, F.transform(a, lambda x: (x / norm(a)).cast("float")))
 
 
-def cosine_of(a: np.ndarray, b: np.ndarray) -> float:
+def cosine_of(a, b) -> float:
     lengths = np.linalg.norm(a) * np.linalg.norm(b)
     return float(a @ b / lengths) if lengths else 0.0

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import random
+from pathlib import Path
 
 OFFICE = ["ledger", "stamp", "clerk", "filing", "bureau"]
 BRIDGES = [("dismissal",), ("layoff",), ("reshuffle",), ("shown", "door"), ("sacked",)]
@@ -41,9 +42,6 @@ def write(folder: str, seed: int = 42, repeats: int = 40) -> tuple[str, str]:
     """(chat log, documents file)."""
     os.makedirs(folder, exist_ok=True)
     chat, docs = os.path.join(folder, "chat.jsonl"), os.path.join(folder, "documents.json")
-    with open(chat, "w", encoding="utf-8") as f:
-        for s in sentences(seed, repeats):
-            f.write(json.dumps({"role": "user", "content": s}) + "\n")
-    with open(docs, "w", encoding="utf-8") as f:
-        json.dump([{"id": i, "text": t} for i, t in DOCUMENTS], f)
+    Path(chat).write_text("".join(json.dumps(dict(content=s, role="user")) + "\n" for s in sentences(seed, repeats)))
+    Path(docs).write_text(json.dumps([dict(zip(("id", "text"), d)) for d in DOCUMENTS]))
     return chat, docs

@@ -6,7 +6,8 @@ import json
 import logging
 import os
 import threading
-from dataclasses import asdict, dataclass
+from dataclasses import MISSING, asdict, dataclass, fields
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,21 +42,17 @@ class Config:
 
     def save(self, path: str) -> None:
         staged = f"{path}.new"
-        with open(staged, "w", encoding="utf-8") as f:
-            json.dump(asdict(self), f, indent=2)
+        Path(staged).write_text(json.dumps(asdict(self), indent=2))
         os.replace(staged, path)
 
     @staticmethod
     def schema() -> list[dict]:
         """The settings with their defaults and what they mean, for a settings dialogue."""
-        return [
-            {"key": "store", "description": "Folder of the store", "default": ""},
-            {"key": "corpus", "description": "Session store, or folder of texts or chat logs", "default": ""},
-            {"key": "format", "description": "Kind of corpus", "default": "sessions", "choices": ["plain", "chat-jsonl", "sessions"]},
-            {"key": "dim", "description": "Vector dimension; a change builds anew", "default": 2048},
-            {"key": "window", "description": "Neighbours on each side; a change builds anew", "default": 3},
-            {"key": "min_count", "description": "Occurrences from which a word counts", "default": 2},
-        ]
+        said = {
+            "store": "Folder of the store", "corpus": "Session store, or folder of texts or chat logs", "format": "Kind of corpus: plain, chat-jsonl or sessions",
+            "dim": "Vector dimension; a change builds anew", "window": "Neighbours on each side; a change builds anew", "min_count": "Occurrences from which a word counts",
+        }
+        return [dict(key=f.name, default="" if f.default is MISSING else f.default, description=said[f.name]) for f in fields(Config)]
 
 
 class Engine:
@@ -203,7 +200,7 @@ class Engine:
         found = self.store.read("facts")
         return fact_plans.empty(self.spark) if found is None else found
 
-    def add(self, content: str, trust: float = 0.5) -> int:
+    def add(self, content: str, trust: float = ranking.DEFAULT_TRUST) -> int:
         return self.add_all(self.spark.createDataFrame([(content, float(trust))], "content string, trust double"))[0]
 
     def add_all(self, rows: DataFrame) -> tuple[int, int]:
@@ -242,8 +239,8 @@ class Engine:
             tables["fact_vectors"] = cached.where(F.col("id") != fact_id)
         self.store.commit(tables)
 
-    def set_trust(self, fact_id: int, trust: float) -> None:
-        changes = self.spark.createDataFrame([(fact_id, float(trust))], "fact_id bigint, new_trust double")
+    def set_trust(self, fact_id: int, value: float) -> None:
+        changes = self.spark.createDataFrame([(fact_id, float(value))], "fact_id bigint, new_trust double")
         self.store.commit({"facts": fact_plans.with_trust_set(self.facts(), changes)})
 
     def trust_of(self, fact_id: int) -> float:
@@ -322,12 +319,12 @@ class Engine:
         for r in rows:
             tags = (["fts"] if r["words"] else []) + ([f"sem:{r['similarity']:+.2f}"] if r["similarity"] is not None else [])
             lines.append(f"- [{r['score']:.4f} {'+'.join(tags) or '?'} trust:{r['trust']:.1f}] {r['text'][:200]}")
-        return "Relevant memories (words and vectors fused):\n" + "\n".join(lines)
+        return "\n".join(["Relevant memories (words and vectors fused):", *lines])
 
     def prefetch_similar(self, query: str) -> str:
         """Lines by vectors alone."""
         lines = [f"- [{r['score']:+.3f}] {r['text'][:200]}" for r in self.recall(query).collect()]
-        return "Relevant memories (vectors only):\n" + "\n".join(lines) if lines else ""
+        return "\n".join(["Relevant memories (vectors only):", *lines]) if lines else ""
 
     # for a host
 
@@ -361,7 +358,7 @@ class Engine:
     @staticmethod
     def tools() -> list[dict]:
         text, number = {"type": "string"}, {"type": "integer"}
-        make = lambda name, what, needed, **given: {"name": name, "description": what, "parameters": {"type": "object", "properties": given, "required": needed}}
+        make = lambda name, what, needed, **given: dict(name=name, description=what, parameters=dict(type="object", required=needed, properties=given))
         return [
             make("memory_add", "Store a fact, with how far it is trusted.", ["content"], content=text, trust={"type": "number", "default": 0.5}),
             make("memory_search", "Search facts by words and meaning.", ["query"], query=text, top_k=number | {"default": 5}),

@@ -13,9 +13,10 @@ ENCODER_VERSION = "idf-v1"
 ENOUGH_MESSAGES = 100
 SOURCE = "state_db"
 LEAKED_WORDS = 200
+LABEL = "Building memory vectors"
 
 
-def fingerprint(regex: str = WORD_PATTERN, stemmer=None, dim: int = 2048, window: int = 3) -> str:
+def fingerprint(window: int = 3, dim: int = 2048, stemmer=None, regex: str = WORD_PATTERN) -> str:
     """Of what makes a model's words and sums: the word rule, a stemmer, dimension and window; not of how documents are weighted."""
     parts = {"dim": int(dim), "regex": regex, "stemmer": getattr(stemmer, "__name__", str(stemmer)), "window": int(window)}
     return hashlib.sha256(json.dumps(parts, sort_keys=True).encode()).hexdigest()[:16]
@@ -60,7 +61,7 @@ def cache_is_current(meta: dict, facts: int, vectors: int | None, width: int | N
     return bool(facts) and vectors == facts and width == dim and meta.get("encoder_version") == ENCODER_VERSION
 
 
-def progress_bar(done: int, total: int, label: str = "Building memory vectors") -> str:
+def progress_bar(done: int, total: int, label: str = LABEL) -> str:
     if total <= 0:
         return ""
     percent = int(min(100, done / total * 100))

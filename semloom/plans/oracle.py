@@ -7,8 +7,7 @@ _MESSAGES = """messages AS (
     SELECT row_number() OVER (ORDER BY conv_id, turn) AS id, conv_id, turn, role, text AS content FROM conversations)"""
 _KEPT = f"""{_MESSAGES}, kept AS (
     SELECT id, role, content FROM messages
-    WHERE role IN ('user', 'assistant') AND content IS NOT NULL AND content <> ''
-      AND content NOT ILIKE '[SYSTEM:%' AND content NOT ILIKE '[CONTEXT COMPACTION%')"""
+    WHERE length(content) > 0 AND NOT (content ILIKE '[SYSTEM:%' OR content ILIKE '[CONTEXT COMPACTION%') AND role IN ('assistant', 'user'))"""
 
 
 def _tokens(text: str) -> str:

@@ -52,11 +52,11 @@ def test_file_sources(spark, tmp_path):
     (tmp_path / "b.txt").write_text("Second file has words. Too short.\r\nAnother line of words")
     (tmp_path / "a.md").write_text("Marked text goes last of all")
     (tmp_path / "a+1 é.txt").write_text("Text with an odd name")
-    (tmp_path / "x.jsonl").write_text(
-        '{"role": "user", "content": "plain words of a user"}\n\nnot json\n[1, 2]\n{"role": "tool", "content": "a tool said some words"}\n'
-        '{"role": "assistant", "content": [{"type": "text", "text": "first block words"}, {"type": "tool_use", "name": "x"}, {"type": "text", "text": "then more"}]}\n'
-        '{"role": "user", "content": ""}\n{"role": "user", "content": [{"type": "tool_use"}]}\n{"role": "user", "content": 7}\n'
-    )
+    block = lambda **k: dict(k)
+    mixed = [block(type="text", text="first block words"), block(type="tool_use", name="x"), block(type="text", text="then more")]
+    said = [("user", "plain words of a user"), ("tool", "a tool said some words"), ("assistant", mixed), ("user", ""), ("user", [block(type="tool_use")]), ("user", 7)]
+    lines = [json.dumps(dict(role=r, content=c)) for r, c in said]
+    (tmp_path / "x.jsonl").write_text("\n".join([lines[0], "", "not json", "[1, 2]", *lines[1:]]) + "\n")
     plain = corpus.read_corpus(spark, str(tmp_path)).orderBy("doc_seq", "sentence").collect()
     assert [r["words"][0] for r in plain] == ["text", "second", "another", "marked"]
     chat = corpus.read_corpus(spark, str(tmp_path), "chat-jsonl").orderBy("doc_seq", "sentence").collect()
@@ -66,10 +66,10 @@ def test_file_sources(spark, tmp_path):
 
 
 def test_fusion(spark):
-    lists = [[1, 2, 3], [2, 4, 5]]
+    lists = [[1, 2, 3], [2, 8, 9]]
     rows = spark.createDataFrame([(k, r, i) for k, x in enumerate(lists) for r, i in enumerate(x)], "list int, rank int, id bigint")
     got = [(r["id"], r["score"]) for r in ranking.fuse(rows).orderBy(*ranking.fused_order()).collect()]
-    assert [i for i, _ in got] == [i for i, _ in ranking.fuse_lists(lists)] == [2, 1, 4, 3, 5]
+    assert [i for i, _ in got] == [i for i, _ in ranking.fuse_lists(lists)] == [2, 1, 8, 3, 9]
     assert dict(got) == pytest.approx(dict(ranking.fuse_lists(lists)))
 
 
