@@ -74,7 +74,11 @@ def chat_messages(spark: SparkSession, path: str) -> DataFrame:
     """Rows of JSON-lines chat logs: what users and assistants said. Lines that are no JSON object are left out.
 
     doc_seq orders by file and then line."""
-    files = _whole(spark, _listed(spark, path, (".jsonl",)))
+    return chat_rows(_whole(spark, _listed(spark, path, (".jsonl",))))
+
+
+def chat_rows(files: DataFrame) -> DataFrame:
+    """``chat_messages`` of whole files (source, doc_seq, text)."""
     lines = files.select("source", F.col("doc_seq").alias("file"), F.posexplode(F.split("text", "\n", -1)).alias("line", "row"))
     parsed = lines.where(F.trim("row") != "").withColumn("v", F.try_parse_json("row"))
     role = F.try_variant_get("v", "$.role", "string")

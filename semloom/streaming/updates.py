@@ -24,14 +24,27 @@ def absorb_batches(engine: Engine, messages: DataFrame, checkpoint: str):
     return messages.writeStream.foreachBatch(absorb).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def changed_files(spark, path: str, since: float) -> list[str]:
-    """The corpus files of a folder changed after ``since`` (seconds), the .txt or .jsonl ones before the .md ones."""
-    from semloom.sources.corpus import _listed
-
-    out = []
-    for f in _listed(spark, path, (".txt", ".jsonl", ".md")):
+def changed_files(spark, path: str, since: float) -> dict[str, float]:
+    """The corpus files of a folder changed after ``since``, with when (seconds); the .txt or .jsonl ones before the .md ones."""
+    out = {}
+    for f in corpus._listed(spark, path, (".txt", ".jsonl", ".md")):
         at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f)
         fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        if fs.getFileStatus(at).getModificationTime() / 1000 > since:
-            out.append(f)
+        changed = fs.getFileStatus(at).getModificationTime() / 1000
+        if changed > since:
+            out[f] = changed
     return out
+
+
+def absorb_files(engine: Engine, path: str) -> int:
+    """Take in the files of a folder that changed since the last time, each in whole; the number of sentences."""
+    found = changed_files(engine.spark, path, float(engine.store.get_meta("files_until", 0.0) or 0.0))
+    kind = (".jsonl",) if engine.config.format == "chat-jsonl" else (".txt", ".md")
+    found = {f: t for f, t in found.items() if f.endswith(kind)}
+    if not found or engine.model() is None:
+        return 0
+    files = corpus._whole(engine.spark, list(found))
+    texts = corpus.chat_rows(files) if engine.config.format == "chat-jsonl" else files
+    n = engine.absorb(corpus.split_texts(texts), int(engine.store.get_meta("last_seen_id", 0) or 0))
+    engine.store.set_meta("files_until", max(found.values()))
+    return n

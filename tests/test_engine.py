@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from semloom.operators import encoding, ranking
-from semloom.plans import lifecycle
+from semloom.plans import legacy, lifecycle
 from semloom.plans.engine import Config, Engine
 from semloom.plans.snapshots import Snapshots
 from semloom.sources import corpus
@@ -62,7 +62,7 @@ def test_file_sources(spark, tmp_path):
     chat = corpus.read_corpus(spark, str(tmp_path), "chat-jsonl").orderBy("doc_seq", "sentence").collect()
     assert [r["words"] for r in chat] == [["plain", "words", "of", "user"], ["first", "block", "words", "then", "more"]]
     assert corpus.read_corpus(spark, str(tmp_path / "none")).count() == 0
-    assert len(updates.changed_files(spark, str(tmp_path), 0)) == 4 and updates.changed_files(spark, str(tmp_path), 4e9) == []
+    assert len(updates.changed_files(spark, str(tmp_path), 0)) == 4 and updates.changed_files(spark, str(tmp_path), 4e9) == {}
 
 
 def test_fusion(spark):
@@ -216,3 +216,25 @@ def test_damaged_model_is_not_served(spark, tmp_path):
     verdict = again.open(background=False)  # and builds anew
     assert verdict.state == "damaged" and again.status()["notice"] and "notice" not in again.status()
     assert again.verdict.serve and again.store.read("vectors").count() > 2
+
+
+def test_taken_over_model_and_changed_files(spark, tmp_path):
+    words = ["harbour", "tide", "anchor"]
+    (tmp_path / "v.json").write_text(json.dumps({"vocab": words, "counts": {"harbour": 4, "tide": 2, "anchor": 2, "once": 1}, "dim": 16, "window": 2, "consumed_sentences": 9}))
+    matrix = np.random.default_rng(0).normal(size=(3, 16)).astype(np.float32)
+    np.save(tmp_path / "m.npy", matrix)
+    folder = tmp_path / "texts"
+    folder.mkdir()
+    (folder / "a.txt").write_text("the tide left the harbour once. the tide came back")
+    engine = Engine(spark, Config(str(tmp_path / "store"), str(folder), "plain", dim=16, window=2))
+    assert legacy.take_over(engine, str(tmp_path / "v.json"), str(tmp_path / "m.npy"))
+    assert not legacy.take_over(engine, str(tmp_path / "v.json"), str(tmp_path / "m.npy"))
+    assert engine.open(background=False).state == "current"
+    got = {r["word"]: np.array(r["memory"], np.float32) for r in engine.store.read("vectors").collect()}
+    assert all((got[w] == matrix[i]).all() for i, w in enumerate(words))
+    assert updates.absorb_files(engine, str(folder)) == 2 and updates.absorb_files(engine, str(folder)) == 0
+    counts = {r["word"]: (r["count"], r["idx"]) for r in engine.store.read("vocabulary").collect()}
+    assert counts["harbour"] == (5, 0) and counts["once"][0] == 2 and counts["once"][1] >= 3 and counts["left"] == (1, None)
+    with pytest.raises(ValueError):
+        np.save(tmp_path / "bad.npy", matrix[:2])
+        legacy.read_model(engine, str(tmp_path / "v.json"), str(tmp_path / "bad.npy"))
