@@ -1,0 +1,249 @@
+"""``lm_scoring`` with every document of a corpus as a query of that corpus, in shuffles that grow with the corpus and not with its square.
+
+Documents are kept in blocks of words. For some lengths at a time each block sends the hashes of its runs, with how often it has them, to
+the task that has that part of the hashes; that adds up the corpus' counts and sends each block its own back. A run that contains one known
+to occur once in the corpus occurs once too and isn't sent, so beyond five words mostly copies are.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from . import bytes_text as bt
+from . import storage
+from .lm_scoring import LADDER, SMOOTHING, Runs, corpus_words, score_texts
+
+#: Words of a block; a longer document is one by itself.
+BLOCK_WORDS = 1 << 19
+#: Words of the corpus for each part of the hashes; bounds what a task adds up at a time.
+PART_WORDS = 1 << 20
+#: Lengths of LADDER whose runs are counted in one shuffle, those longer by one with them; a last shuffle has the beginnings of documents.
+ROUNDS = ((1, 2), (4, 8), (16, 32, 64), LADDER[7:])
+#: Runs that a block may send for the beginnings of documents. Long texts that repeat themselves have more, up to their length's square;
+#: then ``score_texts`` does the whole job.
+FURTHER_RUNS = 1 << 23
+BLOCKS = "block bigint, ids array<bigint>, sizes array<bigint>, seen binary, words binary"
+SENT = "block bigint, part bigint, keys binary, counts binary"
+BACK = "block bigint, round int, part bigint, counts binary"
+SCORES = "doc_id bigint, n_words bigint, log_prob double, perplexity double, context_lengths array<int>, context_counts array<bigint>, joint_counts array<bigint>, log_probs array<double>"
+
+
+def _pack(x: np.ndarray) -> bytes:
+    return len(x).to_bytes(8, "little") + pa.compress(x.tobytes(), "zstd", asbytes=True)
+
+
+def _unpack(b: bytes, kind) -> np.ndarray:
+    n = int.from_bytes(b[:8], "little")
+    return np.frombuffer(pa.decompress(b[8:], n * np.dtype(kind).itemsize, "zstd"), kind)
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    number = TaskContext.get().partitionId() << 32
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        parts = list(corpus_words(bt.to_string(batch.column("text"))))
+        size = np.bincount(np.concatenate([t for _, t in parts]), minlength=batch.num_rows)
+        hashes = np.concatenate([h for h, _ in parts])
+        end = np.cumsum(size)
+        group = (end - size) // BLOCK_WORDS
+        known = np.asarray(batch.column("text").is_valid())
+        for rows in np.split(np.arange(batch.num_rows), np.flatnonzero(np.diff(group)) + 1):
+            i, j = rows[0], rows[-1] + 1
+            seen, code = np.unique(hashes[end[i] - size[i] : end[j - 1]], return_inverse=True)
+            yield pa.record_batch(
+                [pa.array([number]), pa.array([batch.column("doc_id").slice(i, j - i).to_pylist()], pa.list_(pa.int64())), pa.array([np.where(known[i:j], size[i:j], -1)], pa.list_(pa.int64())), pa.array([_pack(seen)], pa.binary()), pa.array([_pack(code.astype(np.uint32))], pa.binary())],
+                names=["block", "ids", "sizes", "seen", "words"],
+            )
+            number += 1
+
+
+class Block:
+    """The runs of a block's documents, and what is known of their counts. A run of length n at i ends with word i."""
+
+    def __init__(self, row: dict):
+        self.ids, self.sizes = row["ids"], np.array(row["sizes"])
+        words = _unpack(row["seen"], np.uint64)[_unpack(row["words"], np.uint32)]
+        size = np.maximum(self.sizes, 0)
+        self.at = np.arange(len(words))
+        self.place = self.at - np.repeat(np.cumsum(size) - size, size)
+        self.runs = Runs(words)
+        self.left = np.repeat(np.cumsum(size), size) - self.at
+        self.alone = np.full(len(words), -1)  # where the last run up to a word that occurs once begins
+        self.whole = np.ones(len(words), np.int64)  # counts of the documents' beginnings
+        self.begins: dict[int, np.ndarray] = {}  # by length, where runs begin that are also some document's beginning
+
+    def _runs(self, round_: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(length, ends, lengths) of the runs of a round that may occur more than once. The last round (length 0) has the other lengths
+        where a run of a length of LADDER that is some document's beginning goes on."""
+        if round_ < len(ROUNDS):
+            longest = int(self.place.max(initial=-1)) + 1
+            for n in ROUNDS[round_]:
+                for length in (n, n + 1):
+                    if length <= longest and (n, length) != (2, 2):  # 2 is also 1 + 1
+                        ends = np.flatnonzero((self.place >= length - 1) & (self.alone < self.at - length + 1))
+                        yield length, ends, np.full(len(ends), length)
+            return
+        if self.further() > FURTHER_RUNS:
+            raise OverflowError
+        all_ends, all_lengths = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for n, starts in self.begins.items():
+            more = self._more(n, starts)
+            lengths = np.arange(more.sum()) - np.repeat(np.cumsum(more) - more, more) + n + 2
+            all_ends.append(np.repeat(starts, more) + lengths - 1)
+            all_lengths.append(lengths)
+        yield 0, np.concatenate(all_ends), np.concatenate(all_lengths)
+
+    def _more(self, n: int, starts: np.ndarray) -> np.ndarray:
+        """How many lengths from n + 2 to 2 n - 1 the runs at ``starts`` may have and occur more than once."""
+        most = np.minimum(np.minimum(np.searchsorted(self.alone, starts) - starts, self.left[starts]), 2 * n - 1)
+        return np.maximum(most - n - 1, 0)
+
+    def further(self) -> int:
+        return sum(int(self._more(n, starts).sum()) for n, starts in self.begins.items())
+
+    def asked(self, round_: int):
+        """(runs, their keys in order without repetition, the key of each run, twice how many runs have each; 1 more if one is a beginning)."""
+        runs = list(self._runs(round_))
+        ends, lengths = (np.concatenate([np.zeros(0, np.int64), *(r[k] for r in runs)]) for k in (1, 2))
+        keys = bt.mix(self.runs.hash(ends - lengths + 1, lengths) ^ lengths.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        keys, which, count = np.unique(keys, return_inverse=True, return_counts=True)
+        count *= 2
+        count[np.unique(which[self.place[ends] == lengths - 1])] += 1
+        return runs, keys, which, count
+
+    def told(self, round_: int, totals: np.ndarray) -> dict[int, np.ndarray]:
+        """The corpus' counts of each length of a round, from those of the keys asked."""
+        runs, _, which, _ = self.asked(round_)
+        found, i = {}, 0
+        for n, ends, lengths in runs:
+            count, begins = totals[which[i : i + len(ends)]] >> 1, totals[which[i : i + len(ends)]] & 1
+            i += len(ends)
+            first = self.place[ends] == lengths - 1
+            self.whole[ends[first]] = count[first]
+            once = count == 1
+            if not n:
+                break
+            found[n] = np.ones(len(self.at), np.int64)
+            found[n][ends] = count
+            self.alone[ends[once]] = np.maximum(self.alone[ends[once]], ends[once] - n + 1)
+            if n in LADDER[2:]:
+                self.begins[n] = ends[(begins > 0) & ~once] - n + 1
+        self.alone = np.maximum.accumulate(self.alone)
+        return found
+
+
+def _answers(back: pa.Table, rounds: int) -> list[np.ndarray]:
+    out = [[np.zeros(0, np.int64)] for _ in range(rounds)]
+    for r in sorted(back.to_pylist(), key=lambda r: (r["round"], r["part"])):
+        out[r["round"]].append(_unpack(r["counts"], np.int64))
+    return [np.concatenate(x) for x in out]
+
+
+def _send(round_: int, bits: int):
+    def run(block: pa.Table, back: pa.Table) -> pa.Table:
+        row = block.to_pylist()[0]
+        b = Block(row)
+        for k, totals in enumerate(_answers(back, round_)):
+            b.told(k, totals)
+        try:
+            _, keys, _, count = b.asked(round_)
+        except OverflowError:  # part -1 says so
+            return pa.table([pa.array([row["block"]]), pa.array([-1]), pa.array([bytes(8)]), pa.array([_pack(np.ones(1, np.int64))])], names=["block", "part", "keys", "counts"])
+        part = (keys >> np.uint64(64 - bits)).astype(np.int64)
+        first = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(keys) else np.zeros(0, np.int64)
+        spans = list(zip(first, np.r_[first[1:], len(keys)]))
+        return pa.table(
+            [pa.array([row["block"]] * len(spans), pa.int64()), pa.array(part[first]), pa.array([keys[i:j].tobytes() for i, j in spans], pa.binary()), pa.array([_pack(count[i:j]) for i, j in spans], pa.binary())],
+            names=["block", "part", "keys", "counts"],
+        )
+
+    return run
+
+
+def _add_up(round_: int):
+    def run(sent: pa.Table) -> pa.Table:
+        each = [np.frombuffer(x.as_buffer(), np.uint64) for x in sent["keys"]]
+        keys = np.concatenate(each)
+        counts = np.concatenate([_unpack(x.as_py(), np.int64) for x in sent["counts"]])
+        order = np.argsort(keys)
+        keys = keys[order]
+        first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+        counts = counts[order]
+        total = np.empty(len(keys), np.int64)
+        total[order] = np.repeat(2 * np.add.reduceat(counts >> 1, first) + np.bitwise_or.reduceat(counts & 1, first), np.diff(np.r_[first, len(keys)]))
+        back = [_pack(x) for x in np.split(total, np.cumsum([len(x) for x in each])[:-1])]
+        return pa.table([sent["block"], pa.array([round_] * len(each), pa.int32()), sent["part"], pa.array(back, pa.binary())], names=["block", "round", "part", "counts"])
+
+    return run
+
+
+def _score(words: int):
+    def run(block: pa.Table, back: pa.Table) -> pa.Table:
+        b = Block(block.to_pylist()[0])
+        for k, totals in enumerate(_answers(back, len(ROUNDS) + 1)):
+            count = b.told(k, totals)
+            if k == len(ROUNDS):
+                break
+            if not k:
+                own = count.get(1, np.zeros(0, np.int64))
+                p = (own + 0.5) / (words + 1)
+            for n in ROUNDS[k]:
+                i = np.flatnonzero(b.place >= n)
+                if len(i):
+                    p[i] = (count[n + 1][i] + SMOOTHING * p[i]) / (count[n][i - 1] + SMOOTHING)
+        context = np.where(b.place > 0, np.r_[0, b.whole[:-1]][: len(b.whole)], words)
+        joint = np.where(b.place > 0, b.whole, own)
+        i = np.flatnonzero((b.place > 0) & ~np.isin(b.place, LADDER))
+        p[i] = (joint[i] + SMOOTHING * p[i]) / (context[i] + SMOOTHING)
+        log = np.log(p)
+        size = np.maximum(b.sizes, 0)
+        border = np.r_[0, np.cumsum(size)]
+        null = b.sizes < 0
+        text = np.repeat(np.arange(len(size)), size)
+        total = np.bincount(text, log, len(size))
+        lists = lambda x, kind: pa.ListArray.from_arrays(pa.array(border, pa.int32()), pa.array(x, kind), mask=pa.array(null))
+        return pa.table(
+            [
+                pa.array(b.ids, pa.int64()), pa.array(size, pa.int64(), mask=null), pa.array(total, mask=null), pa.array(np.exp(-total / np.maximum(size, 1)), mask=size == 0),
+                lists(b.place.astype(np.int32), pa.int32()), lists(context, pa.int64()), lists(joint, pa.int64()), lists(log, pa.float64()),
+            ],
+            names=["doc_id", "n_words", "log_prob", "perplexity", "context_lengths", "context_counts", "joint_counts", "log_probs"],
+        )
+
+    return run
+
+
+def score_documents(documents: DataFrame) -> DataFrame:
+    """(doc_id, n_words, log_prob, perplexity, context_lengths, context_counts, joint_counts, log_probs) of each row of ``documents``
+    (doc_id, text): ``lm_scoring.score_texts`` of all documents against all documents.
+
+    All texts count, in whole, the scored one too: so the longest context of a word is all that stands before it in its document, and the
+    counts say how often the corpus has that. Null text: null in all but doc_id. Text without words: 0 words, log_prob 0, null perplexity.
+    Repeated rows and ids and a null doc_id: a row each. Empty ``documents``: no rows. Other columns are not looked at. A document
+    may have at most 2^23 words.
+    """
+    spark = documents.sparkSession
+    rows = documents.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(_blocks, BLOCKS)
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    blocks = storage.cut(rows.repartition(n, "block"))
+    sizes = F.transform("sizes", lambda x: F.greatest(x, F.lit(0)))
+    words, longest = blocks.agg(F.coalesce(F.sum(F.aggregate(sizes, F.lit(0).cast("bigint"), lambda a, x: a + x)), F.lit(0)), F.coalesce(F.max(F.array_max(sizes)), F.lit(0))).head()
+    if longest > LADDER[-1]:
+        raise ValueError(f"a document may have at most {LADDER[-1]} words")
+    bits = max(1, (words // PART_WORDS).bit_length())
+    back = spark.createDataFrame([], BACK)
+    for k in range(len(ROUNDS) + 1):
+        sent = blocks.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(_send(k, bits), SENT)
+        back = back.union(storage.cut(sent.groupBy("part").applyInArrow(_add_up(k), BACK)))
+        spark.sparkContext._jvm.System.gc()  # the round's shuffle files go when the driver forgets them
+    if back.where("part = -1").limit(1).count():
+        found = score_texts(documents.select(F.col("doc_id").alias("item_id"), "text"), documents)
+        return found.withColumnRenamed("item_id", "doc_id")
+    return blocks.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(_score(words), SCORES)

@@ -1,0 +1,41 @@
+import random
+
+import pytest
+
+import __spark_entry__
+from semloom.llm import document_scoring as ds
+from semloom.llm import lm_scoring as lm
+
+from .conftest import odd_rows, prose
+from .test_lm_scoring import check
+
+
+def as_items(df):
+    return [r for r in df.withColumnRenamed("doc_id", "item_id").collect()]
+
+
+@pytest.mark.parametrize("block,part", [(1 << 19, 1 << 20), (70, 40)])
+def test_every_document_equals_brute_force(spark, block, part, monkeypatch):
+    monkeypatch.setattr(ds, "BLOCK_WORDS", block)
+    monkeypatch.setattr(ds, "PART_WORDS", part)
+    rng = random.Random(3)
+    texts = [prose(rng, rng.randint(1, 50)) for _ in range(40)] + [None, "", " . ", "zzz"]
+    texts += [texts[3]] * 3 + [texts[4] + " " + texts[5], texts[5] + " zzz " + texts[4], "of the " * 30]
+    rows = [(i if i != 7 else None, t) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    check(as_items(ds.score_documents(docs)), rows, texts)
+
+
+def test_as_queries_of_the_corpus(spark, odd, none):
+    columns = ("n_words", "log_prob", "context_lengths", "context_counts", "joint_counts")
+    key = lambda r: repr((r["item_id"], *((round(x, 3) if isinstance(x, float) else x) for x in (r[c] for c in columns))))
+    got, want = as_items(ds.score_documents(odd)), lm.score_texts(odd.withColumnRenamed("doc_id", "item_id"), odd).collect()
+    assert len(got) == len(odd_rows()) and sorted(map(key, got)) == sorted(map(key, want))
+    assert ds.score_documents(none).count() == 0
+
+
+def test_the_query_scores_the_whole_table(spark):
+    d = "/root/testdata/sf0.001"
+    got = __spark_entry__.queries()["op1_lm_scoring"](spark, d).select("doc_id", "log_prob").collect()
+    assert sorted(r["doc_id"] for r in got) == sorted(r["doc_id"] for r in spark.read.parquet(f"{d}/documents.parquet").select("doc_id").collect())
+    assert all(r["log_prob"] is not None for r in got)
