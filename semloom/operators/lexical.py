@@ -354,6 +354,23 @@ def scored(index: Index, tree) -> DataFrame:
     )
 
 
+def search_any(index: Index, asked: DataFrame, limit: int = LIMIT) -> DataFrame:
+    """(item, id, score, rank) of the best documents for each of ``asked`` (item, text): as ``search`` for any of the text's terms, of
+    which each occurrence adds its part. The terms asked for are sent to every task."""
+    from pyspark.sql import Window
+
+    words = asked.select("item", F.explode(terms(F.col("text"))).alias("term")).groupBy("item", "term").agg(F.count("*").alias("times"))
+    documents = index.lengths.agg(F.count("*").alias("documents"), F.avg("length").alias("average"))
+    known = index.postings.select("term", "id", "tf").join(F.broadcast(words.select("term").distinct()), "term", "left_semi")
+    weight = F.log((F.col("documents") - F.col("n") + 0.5) / (F.col("n") + 0.5))
+    weights = known.groupBy("term").agg(F.count("*").alias("n")).crossJoin(F.broadcast(documents)).select("term", "average", F.when(weight <= 0, LEAST_IDF).otherwise(weight).alias("weight"))
+    saturated = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("average")))
+    hits = known.join(F.broadcast(weights), "term").join(index.lengths, "id").join(F.broadcast(words), "term")
+    found = hits.groupBy("item", "id").agg(F.sum(-F.col("weight") * saturated * F.col("times")).alias("score"))
+    place = F.row_number().over(Window.partitionBy("item").orderBy("score", "id")) - 1
+    return found.withColumn("rank", place).where(F.col("rank") < limit)
+
+
 def search(index: Index, query: str, limit: int = LIMIT, sanitize: bool = False) -> DataFrame:
     """(id, score, rank) of the best documents; of equal scores the smaller id first. A query that isn't one finds nothing, unless
     ``sanitize`` has it tried again with blanks for all but ASCII letters and digits."""

@@ -213,17 +213,14 @@ def encoded_facts(spark, d):
 
 
 def fused_search(spark, d):
-    """Each benchmark text's first words asked of the documents by words, and of their vectors by meaning; fused, with trust."""
+    """Each benchmark text asked of the documents by any of its words, with bm25, and of their vectors by meaning; fused, with trust."""
     model = training.train(sentences(spark, d), training.Settings(DIM))
     weights = encoding.idf(docs(spark, d))
     asked = _table(spark, d, "benchmark").select(F.col("item_id").alias("id"), "text")
     queries_ = encoding.encode(asked, model.vectors, weights, DIM).select(F.col("id").alias("item"), "vector")
     vectors = encoding.encode_all(docs(spark, d), model.vectors, DIM, weights)
     by_meaning = encoding.nearest_many(vectors, queries_, 20, 0.01)
-    index = _index(spark, d)
-    words = asked.select(F.col("id").alias("item"), F.explode(F.array_distinct(lexical.terms(F.col("text")))).alias("term"))
-    hits = index.postings.join(F.broadcast(words), "term").groupBy("item", "id").agg(F.count("*").alias("n"), F.sum("tf").alias("tf"))
-    by_words = hits.withColumn("rank", F.row_number().over(Window.partitionBy("item").orderBy(F.desc("n"), F.desc("tf"), "id")) - 1).where("rank < 20")
+    by_words = lexical.search_any(_index(spark, d), asked.select(F.col("id").alias("item"), "text"), 20)
     lists = by_words.select("item", F.lit(0).alias("list"), "rank", "id").unionByName(by_meaning.select("item", F.lit(1).alias("list"), "rank", "id"))
     place = F.row_number().over(Window.partitionBy("item").orderBy(*ranking.fused_order())) - 1
     top = ranking.fuse(lists, by=["item"]).withColumn("place", place).where("place < 5")
