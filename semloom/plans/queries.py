@@ -140,6 +140,14 @@ def nearest_vectors(spark, d):
     return top.where(F.col("score") > 0.01).select("id", F.round("score", 4).alias("score"))
 
 
+def nearest_vectors_of_all(spark, d):
+    """For each row of embeddings its 20 nearest rows by cosine, above 0.01; the row itself is one of them."""
+    rows = _table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.transform("embedding", lambda x: x.cast("double")).alias("x"))
+    length = F.sqrt(F.aggregate("x", F.lit(0.0), lambda a, x: a + x * x))
+    unit = rows.select("id", F.transform("x", lambda x: F.when(length > 0, x / length).otherwise(0.0)).alias("vector"))
+    return encoding.nearest_many(unit, unit.withColumnRenamed("id", "item"), 20, 0.01).select("item", "id", F.round("score", 4).alias("score"), "rank")
+
+
 def label_cosines(spark, d):
     """Cosine of the mean vectors of each two labels."""
     cells = _table(spark, d, "embeddings").select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("x"))
@@ -230,7 +238,7 @@ def fused_search(spark, d):
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = [
         session_messages, highest_message, messages_since, chat_blocks, sentence_pieces, corpus_sentences, token_counts, vocabulary, cooccurrences,
-        identity_numbers, idf, postings, fts_top, nearest_vectors, label_cosines, rank_fusion, trusted_search, trusted_lines, feedback, removed_facts,
+        identity_numbers, idf, postings, fts_top, nearest_vectors, nearest_vectors_of_all, label_cosines, rank_fusion, trusted_search, trusted_lines, feedback, removed_facts,
         repeated_facts, imported_trust, trained_vectors, encoded_facts, fused_search,
     ]
     return {f.__name__: f for f in named} | {name: _scored(q) for name, q in TEXT_QUERIES.items()}

@@ -76,3 +76,14 @@ def test_fused_search_equals_brute_force(spark, tables):
         assert [i for i, _ in mine] == [i for i, _ in want]
         assert [s for _, s in mine] == pytest.approx([s * trust[i] for i, s in want])
     assert not got
+
+
+def test_every_vector_is_a_query(spark, tables):
+    d = tables[0]
+    x = {r["vec_id"]: np.array(r["embedding"], float) for r in spark.read.parquet(f"{d}/embeddings.parquet").collect()}
+    cosine = lambda a, b: float(a @ b / np.linalg.norm(a) / np.linalg.norm(b))
+    got = {(r["item"], r["rank"]): (r["id"], r["score"]) for r in plans.queries()["nearest_vectors_of_all"](spark, d).collect()}
+    for item, q in x.items():
+        want = sorted((-cosine(q, v), i) for i, v in x.items() if cosine(q, v) > 0.01)[:20]
+        assert [got.pop((item, k)) for k in range(len(want))] == [(i, pytest.approx(-s, abs=1e-4)) for s, i in want]
+    assert not got
