@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import bytes_text as bt
 from . import storage
 from .bins import SegmentTree, best_fit_decreasing
+from .unigram import MODEL
 
 CAPACITY = 2048
 #: Rows of one size are ranked in this many independent buckets, so that a frequent size is no hot partition.
@@ -14,10 +19,20 @@ BUCKETS = 256
 RUN_SCHEMA = "size bigint, run_rank bigint, run_count bigint, run_bin bigint, run_per bigint, run_offset bigint"
 
 
-def token_count(text: Column) -> Column:
-    """Runs of non-blank characters, and one for the end of the document; 0 for a text without any."""
-    n = F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"\S+")).cast("bigint")
-    return F.when(n > 0, n + 1).otherwise(F.lit(0).cast("bigint"))
+def _tokens(path: str):
+    """Batches of (doc_id, text) to (doc_id, tokens)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import sentencepiece
+
+        sp = sentencepiece.SentencePieceProcessor(model_file=path)
+        for batch in batches:
+            texts = bt.to_string(batch.column(1))
+            for i, j, _, _ in bt.steps(texts):
+                found = sp.encode(texts.slice(i, j - i).to_pylist(), num_threads=1)
+                yield pa.record_batch([batch.column(0).slice(i, j - i), pa.array([len(x) + 1 if x else 0 for x in found], pa.int64())], names=["doc_id", "tokens"])
+
+    return run
 
 
 def ranked(rows: DataFrame, size: str, order: list[str], buckets: int = BUCKETS) -> DataFrame:
@@ -51,18 +66,20 @@ def placed(items: DataFrame, size: str, counts: dict[int, int], capacity: int, t
     )
 
 
-def pack_documents(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+def pack_documents(docs: DataFrame, capacity: int = CAPACITY, path: str = MODEL) -> DataFrame:
     """(doc_id, part, n_parts, size, bin_id, bin_offset): where each piece of each document of ``docs`` (doc_id, text) goes.
 
-    A document longer than ``capacity`` is cut into full pieces and a rest, so nothing is lost and no piece spans two bins.
-    Pieces are packed by best-fit decreasing over the whole table: a segment tree over remaining capacities finds the tightest
-    open bin in logarithmic time. Only the count of pieces of each size, at most ``capacity`` numbers, reaches the driver.
+    A document's size is the number of its tokens, as the SentencePiece model at ``path`` encodes its whole text, and one for the end of
+    the document. A larger one than ``capacity`` is cut between tokens into full pieces and a rest, so nothing is lost, no piece spans
+    two bins and no bin has more than ``capacity`` tokens. Pieces are packed by best-fit decreasing over the whole table: a segment tree
+    over remaining capacities finds the tightest open bin in logarithmic time. Only the count of pieces of each size, at most
+    ``capacity`` numbers, reaches the driver.
 
-    Null or blank text: one row of size 0 with null bin_id and bin_offset. A null doc_id is packed like any other. Repeated rows
-    are packed once each. Pieces of one size are interchangeable; they are taken by hash of (doc_id, part). An empty table gives
-    no rows. Columns but doc_id and text are not looked at.
+    Null or empty text: one row of size 0 with null bin_id and bin_offset. Blanks are tokens too. A null doc_id is packed like any
+    other. Repeated rows are packed once each. Pieces of one size are interchangeable; they are taken by hash of (doc_id, part). An empty
+    table gives no rows. Columns but doc_id and text are not looked at.
     """
-    sized = docs.select("doc_id", token_count(F.col("text")).alias("tokens"))
+    sized = docs.select("doc_id", "text").mapInArrow(_tokens(path), docs.select("doc_id", F.lit(0).cast("bigint").alias("tokens")).schema)
     parts = F.greatest(F.lit(1), F.ceil(F.col("tokens") / capacity)).cast("int")
     pieces = storage.cut(
         sized.withColumn("n_parts", parts)

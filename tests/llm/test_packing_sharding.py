@@ -1,10 +1,12 @@
+import os
 import random
-import re
 from collections import Counter, defaultdict
 
 import pytest
+import sentencepiece
 
 from semloom.llm import bins, packing, sharding
+from semloom.llm.unigram import MODEL
 
 from .conftest import LONG, odd_rows, plain
 
@@ -36,11 +38,15 @@ def test_runs_equal_items(tree):
         bins.best_fit_decreasing({11: 1}, 10, tree)
 
 
+needs_model = pytest.mark.skipif(not os.path.exists(MODEL), reason="no vocabulary file")
+
+
 def pack_checked(df, rows, capacity):
     got = df.collect()
     want = Counter()
+    sp = sentencepiece.SentencePieceProcessor(model_file=MODEL)
     for i, text in rows:
-        n = len(re.findall(r"[^ \t\n\x0b\f\r]+", text or ""))
+        n = len(sp.encode(text or ""))
         tokens = n + 1 if n else 0
         parts = max(1, -(-tokens // capacity))
         for p in range(parts):
@@ -60,12 +66,21 @@ def pack_checked(df, rows, capacity):
     assert Counter((s, *v) for (s, _), v in place.items()) == Counter((r["size"], r["bin_id"], r["bin_offset"]) for r in got if r["size"])
 
 
+@needs_model
 def test_packing_equals_brute_force(spark):
     rng = random.Random(2)
     rows = [(i, " ".join("w" for _ in range(rng.choice([0, 1, 3, 9, 12, 30, 31, 64, 65, 150])))) for i in range(300)]
     pack_checked(packing.pack_documents(spark.createDataFrame(rows, "doc_id bigint, text string"), 64), rows, 64)
 
 
+@needs_model
+def test_texts_without_blanks_and_long_ones(spark):
+    rows = [(1, "漢字" * 16_000), (2, "q7Zx" * 150_000), (3, " " * 5000), (4, "\n" * 5000), (5, "one two")]
+    got = packing.pack_documents(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    pack_checked(got, rows, packing.CAPACITY)
+
+
+@needs_model
 def test_packing_odd_rows(odd, none):
     pack_checked(packing.pack_documents(odd), [r[:2] for r in odd_rows()], packing.CAPACITY)
     assert packing.pack_documents(none).count() == 0
