@@ -2,10 +2,15 @@
 
 An Aho-Corasick automaton enumerates the vocabulary's matches; dynamic programming carries the best score and its number of tokens
 to each position. No segmentation is kept.
+
+Scores add up as SentencePiece's unigram encoder has them, which decides ties: sums are kept in single precision; a candidate is compared
+unrounded, and replaces an earlier one only if it is better; where the best sum at a character lies beyond +-LIMIT it is subtracted from
+all sums that the text has by then, rounded again. So what a unit (see ``unigram``) does to a text's sum depends on the sum before it.
 """
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 
 import ahocorasick
@@ -17,103 +22,170 @@ from pyspark.sql import functions as F
 from . import bytes_text as bt
 from .unigram import MODEL, load, units
 
-#: Units whose result a worker keeps; when there are more it starts anew, which only costs time.
-CACHE = 600_000
+#: Units, and results for a unit after some sum, that a worker keeps; when there are more it starts anew, which only costs time.
+CACHE = 400_000
+LIMIT = 100_000
 SCHEMA = "doc_id bigint, n_tokens bigint, score double"
-_BETWEEN = "\ue000"  # for private use
-_automata: dict[str, object] = {}
-
-
-def automaton(path: str):
-    """Over the pieces, with (length, score); made once in each process."""
-    if path not in _automata:
-        if any(_BETWEEN in piece for piece in load(path).pieces):
-            raise ValueError(f"{path}: a piece has the character {ascii(_BETWEEN)}")
-        a = ahocorasick.Automaton()
-        for piece, (_, score) in load(path).pieces.items():
-            a.add_word(piece, (len(piece), score))
-        a.make_automaton()
-        _automata[path] = a
-    return _automata[path]
-
-
-def count_units(found: list[str], path: str) -> tuple[list[int], list[float]]:
-    """(tokens, best score) of each unit.
-
-    Ties go as in SentencePiece's unigram encoder: of equal scores at a position the piece that begins first stays, as a later
-    one must be better. A character without a piece of its own costs ``unknown`` and its UTF-8 bytes."""
-    pieces, unknown = load(path).pieces, load(path).unknown
-    # one pass over all units, with a character that is in no piece between them; scores run on and differences count
-    text = _BETWEEN.join(found) + _BETWEEN
-    best, count = [0.0] * (len(text) + 1), [0] * (len(text) + 1)
-    strays = [i for i, c in enumerate(text) if c not in pieces] if not set(text) <= pieces.keys() else []
-    strays.append(len(text))
-    k = 0
-    stray = strays[0]
-    last, top, n = -1, 0.0, 0
-
-    for end, (length, score) in automaton(path).iter(text):
-        if end != last:
-            if last >= 0 and last != stray:
-                best[last + 1], count[last + 1] = top, n
-            while stray < end:  # characters without a piece before this match: no match ends there, or only longer ones
-                _stray(text, stray, last, top, n, best, count, unknown)
-                k += 1
-                stray = strays[k]
-            last, top, n = end, best[end + 1 - length] + score, count[end + 1 - length] + 1
-        else:
-            now = best[end + 1 - length] + score
-            if now > top:
-                top, n = now, count[end + 1 - length] + 1
-    if last >= 0 and last != stray:
-        best[last + 1], count[last + 1] = top, n
-    while stray < len(text):
-        _stray(text, stray, last, top, n, best, count, unknown)
-        k += 1
-        stray = strays[k]
-    tokens, scores, at = [], [], 0
-    for u in found:
-        end = at + len(u)
-        tokens.append(count[end] - count[at])
-        scores.append(best[end] - best[at])
-        at = end + 1
-    return tokens, scores
-
-
-def _stray(text, at, last, top, n, best, count, unknown) -> None:
-    now = best[at] + unknown
-    if last == at and top >= now:
-        best[at + 1], count[at + 1] = top, n
-    else:
-        best[at + 1], count[at + 1] = now, count[at] + len(text[at].encode("utf-8", "surrogatepass"))
+_single = struct.Struct("f")
 
 
-class Counter:
-    """Counts texts, and keeps what it found for units, sorted by their hashes."""
+def _float32(x: float) -> float:
+    return _single.unpack(_single.pack(x))[0]
+
+
+class Encoder:
+    """What one unit does to a text's sum: ``solve`` gives (tokens, score, sum after it) from the sum before it, which is within LIMIT.
+
+    With whole-number scores, of which the lowest (``low``) is the only one that single precision rounds in sums with the others, a unit that
+    begins with a piece of that score depends only on how the sum before it is rounded away; ``like`` has one sum for each such case, by
+    the sum's last 7 bits. Otherwise ``like`` is None."""
 
     def __init__(self, path: str):
-        self.path = path
-        self.key, self.tokens, self.scores = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0)
+        vocabulary = load(path)
+        scores = {_float32(s) for _, s in vocabulary.pieces.values()}
+        self.low = min(scores)
+        self.unknown = _float32(self.low - 10)
+        whole = all(s == int(s) for s in scores | {self.unknown})
+        number = int if whole else float
+        self.low, self.unknown = number(self.low), number(self.unknown)
+        self.pieces = {p: number(_float32(s)) for p, (_, s) in vocabulary.pieces.items()}
+        self.exact = whole
+        self.automaton = ahocorasick.Automaton()
+        for piece, score in self.pieces.items():
+            self.automaton.add_word(piece, (len(piece), score))
+        self.automaton.make_automaton()
+        ulp = [np.spacing(np.float32(abs(self.low) + x)) for x in (-2 * LIMIT, 2 * LIMIT)]
+        rest = [s for s in scores if s != self.low]
+        self.like = None
+        if whole and ulp[0] == ulp[1] == 64 and self.low % 64 == 0 and self.unknown == self.low and min(rest, default=0) > -LIMIT and max(scores) <= 0:
+            first: dict[int, int] = {}
+            self.like = [first.setdefault(self._round(b + self.low) - b, b) for b in range(-128, 0)]
+
+    def _round(self, x):
+        if self.exact:
+            return x if -16777216 <= x <= 16777216 else int(_float32(x))
+        return _float32(x)
+
+    def solve(self, unit: str, before) -> tuple:
+        """(tokens, score, sum after it, least sum at any character)."""
+        n, least, round_ = len(unit), before, self._round
+        ends: list = [()] * n
+        for end, match in self.automaton.iter(unit):  # of an end the longest first
+            if ends[end]:
+                ends[end].append(match)
+            else:
+                ends[end] = [match]
+        sums, count, score, taken, seen = [before], [0], [0], [], [0]  # taken: what was subtracted; seen: how much of it by a place
+        for q in range(1, n + 1):
+            best, length = None, 0
+            for length, s in ends[q - 1]:
+                p = q - length
+                now = sums[p] + s
+                if best is not None:
+                    while r < seen[p]:
+                        best = round_(best - taken[r])
+                        r += 1
+                if best is None or now > best:
+                    best, k, total, r = round_(now), count[p] + 1, score[p] + s, seen[p]
+            p = q - 1
+            if best is not None:
+                while r < seen[p]:
+                    best = round_(best - taken[r])
+                    r += 1
+            if length != 1 and (best is None or sums[p] + self.unknown > best):
+                best, k, total = round_(sums[p] + self.unknown), count[p] + len(unit[p].encode("utf-8", "surrogatepass")), score[p] + self.unknown
+            if best < least:
+                least = best
+            if not -LIMIT <= best <= LIMIT:
+                taken.append(best)
+                best = 0
+            sums.append(best)
+            count.append(k)
+            score.append(total)
+            seen.append(len(taken))
+        return count[n], score[n], sums[n], least
+
+
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """Made once in each process."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
 
-    def add(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        found = units(texts, self.path)
+
+class Counter:
+    """Counts texts, and keeps what it found for units."""
+
+    def __init__(self, path: str):
+        self.path, self.encoder = path, encoder(path)
+        self.key, self.number = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # hashes of the known units in order, and their numbers
+        self.text: list[str] = []
+        self.light: list = []  # (tokens, score, change of the sum, least sum) from 0, of units that add up exactly wherever they stand
+        self.memo: dict = {}
+
+    def _numbers(self, found) -> np.ndarray:
+        """Numbers of the different units of some texts."""
         at = np.searchsorted(self.key, found.key)
-        known = np.zeros(len(at), bool)
-        known[at < len(self.key)] = self.key[at[at < len(self.key)]] == found.key[at < len(self.key)]
+        inside = np.minimum(at, max(len(self.key) - 1, 0))
+        known = self.key[inside] == found.key if len(self.key) else np.zeros(len(at), bool)
+        out = np.zeros(len(at), np.int64)
+        out[known] = self.number[inside[known]]
         fresh = np.flatnonzero(~known)
-        tokens, scores = np.zeros(len(at), np.int64), np.zeros(len(at))
-        tokens[known], scores[known] = self.tokens[at[known]], self.scores[at[known]]
         if len(fresh):
             end = np.cumsum(found.size)
             every = found.points.tobytes().decode("utf-32-le", "surrogatepass")
-            tokens[fresh], scores[fresh] = count_units([every[end[i] - found.size[i] : end[i]] for i in fresh], self.path)
-            if len(self.key) > CACHE:
-                self.__init__(self.path)
-                at = np.zeros(len(at), np.int64)
-            put = at[fresh]
-            self.key, self.tokens, self.scores = (np.insert(a, put, b[fresh]) for a, b in ((self.key, found.key), (self.tokens, tokens), (self.scores, scores)))
-        each = lambda v: np.bincount(found.text, v[found.which], len(texts))
-        return each(tokens).astype(np.int64), each(scores)
+            out[fresh] = np.arange(len(self.text), len(self.text) + len(fresh))
+            e = self.encoder
+            for i in fresh:
+                unit = every[end[i] - found.size[i] : end[i]]
+                light = None
+                if e.like is not None and e.pieces.get(unit[0]) != e.low and e.pieces.get(unit[0]) is not None:
+                    light = e.solve(unit, 0)
+                    if light[3] < -LIMIT:  # it takes part of the sum away, or has pieces of the lowest score
+                        light = None
+                self.text.append(unit)
+                self.light.append(light)
+            self.key, self.number = np.insert(self.key, at[fresh], found.key[fresh]), np.insert(self.number, at[fresh], out[fresh])
+        return out
+
+    def add(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(tokens, score) of each text."""
+        if len(self.text) > CACHE or len(self.memo) > CACHE:
+            self.__init__(self.path)
+        found = units(texts, self.path)
+        which = self._numbers(found)[found.which].tolist()
+        border = np.searchsorted(found.text, np.arange(len(texts) + 1)).tolist()
+        tokens, scores = np.zeros(len(texts), np.int64), np.zeros(len(texts))
+        e, light, memo, text = self.encoder, self.light, self.memo, self.text
+        like, low = e.like, e.low
+        head = e.pieces.get
+        for t in range(len(texts)):
+            n, total, sum_ = 0, 0, 0
+            for u in which[border[t] : border[t + 1]]:
+                x = light[u]
+                if x is not None and sum_ + x[3] >= -LIMIT:
+                    n += x[0]
+                    total += x[1]
+                    sum_ += x[2]
+                    continue
+                if like is None:
+                    key, before = (u, sum_), sum_
+                elif x is None and head(text[u][0], low) == low:
+                    before = like[sum_ & 127]
+                    key = u << 7 | before & 127
+                else:
+                    key, before = (u, sum_), sum_
+                found_ = memo.get(key)
+                if found_ is None:
+                    found_ = memo[key] = e.solve(text[u], before)
+                n += found_[0]
+                total += found_[1]
+                sum_ = found_[2]
+            tokens[t], scores[t] = n, total
+        return tokens, scores
 
 
 def _counted(path: str):
@@ -124,7 +196,7 @@ def _counted(path: str):
                 continue
             texts = bt.to_string(batch.column(1))
             tokens, scores = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows)
-            for i, j, _, _ in bt.steps(texts, 4 << 20):
+            for i, j, _, _ in bt.steps(texts, 1 << 20):
                 tokens[i:j], scores[i:j] = counter.add(texts.slice(i, j - i).to_pylist())
             missing = ~batch.column(1).is_valid().to_numpy(zero_copy_only=False)
             yield pa.record_batch([batch.column(0).cast(pa.int64()), pa.array(tokens, mask=missing), pa.array(scores, mask=missing)], names=["doc_id", "n_tokens", "score"])
@@ -135,9 +207,8 @@ def _counted(path: str):
 def count_tokens(docs: DataFrame, path: str = MODEL) -> DataFrame:
     """(doc_id, n_tokens, score) for each row of ``docs`` (doc_id, text), without a shuffle.
 
-    ``score`` is the sum of the best segmentation's piece scores over the whole text, in double precision, where the scores of the
-    vocabulary file are exact. SentencePiece's own fast path sums in single precision: where sums pass 2**24, or a model has scores
-    such as -1e9, it takes near ties for ties. Null text: null count and score.
+    ``n_tokens`` is the length of the encoding that SentencePiece has of the whole text with the vocabulary file read as a unigram model;
+    ``score`` is the sum of its pieces' scores, in double precision. Null text: null count and score.
     Empty text: 0 and 0. Repeated rows and a null doc_id: a row each. An empty table gives no rows. Columns but doc_id and text are
     not looked at. ``path`` is the vocabulary's file, which every executor must have.
     """

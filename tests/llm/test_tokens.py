@@ -3,28 +3,37 @@ import random
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from semloom.llm import sampling, token_count, unigram
 
-from .conftest import odd_rows
+from .conftest import LONG, odd_rows
+
+SF = "/root/testdata/sf0.01"
 
 pytestmark = pytest.mark.skipif(not os.path.exists(unigram.MODEL), reason="no vocabulary file")
 
 
 def viterbi(text):
-    """(tokens, score) of the whole text as one lattice, in exact numbers; of equal scores the piece that begins first stays."""
-    v = unigram.load()
+    """(tokens, score) of the whole text as one lattice, from its beginning on, character by character."""
+    v, f = unigram.load(), np.float32
     x = unigram.MARK + text.replace(" ", unigram.MARK) if text else ""
-    best = [(0, 0)] + [None] * len(x)
+    best = [(f(0), 0, 0)] + [None] * len(x)
     for i in range(len(x)):
-        ends = [(n, v.pieces[x[i : i + n]][1], 1) for n in range(1, 17) if i + n <= len(x) and x[i : i + n] in v.pieces]
+        off = best[i][0]
+        if abs(off) > token_count.LIMIT:
+            for j in range(i, min(len(x), i + 17) + 1):
+                if best[j]:
+                    best[j] = f(best[j][0] - off), *best[j][1:]
+        ends = [(n, f(v.pieces[x[i : i + n]][1]), 1) for n in range(1, 17) if i + n <= len(x) and x[i : i + n] in v.pieces]
         if not any(n == 1 for n, _, _ in ends):
-            ends.append((1, v.unknown, len(x[i].encode())))
+            ends.append((1, f(f(min(s for _, s in v.pieces.values())) - f(10)), len(x[i].encode())))
         for n, s, k in ends:
-            if best[i + n] is None or best[i][0] + int(s) > best[i + n][0]:
-                best[i + n] = best[i][0] + int(s), best[i][1] + k
-    return best[-1][1], best[-1][0]
+            now = float(best[i][0]) + float(s)
+            if best[i + n] is None or now > best[i + n][0]:
+                best[i + n] = f(now), best[i][1] + k, best[i][2] + float(s)
+    return best[-1][1], best[-1][2]
 
 
 def some_texts():
@@ -49,9 +58,8 @@ def test_a_full_cache_starts_anew(monkeypatch):
         assert list(counter.add(texts[i : i + 20])[0]) == [viterbi(t)[0] for t in texts[i : i + 20]]
 
 
-def test_counts_equal_the_library(tmp_path):
-    """SentencePiece itself, told that the vocabulary is a unigram one. It sums in single precision, and loses small differences where
-    some scores are as low as -1e9; so those are raised, for both, and sums that it can't hold are left out."""
+def as_unigram(path, change=lambda piece: None):
+    """SentencePiece itself, told that the vocabulary is a unigram one."""
     sentencepiece = pytest.importorskip("sentencepiece")
     pb = pytest.importorskip("sentencepiece.sentencepiece_model_pb2")
     model = pb.ModelProto()
@@ -59,16 +67,31 @@ def test_counts_equal_the_library(tmp_path):
         model.ParseFromString(f.read())
     model.trainer_spec.model_type = 1
     for piece in model.pieces:
-        piece.score = max(piece.score, -40_000)
-    path = str(tmp_path / "unigram.model")
+        change(piece)
     with open(path, "wb") as f:
         f.write(model.SerializeToString())
-    sp = sentencepiece.SentencePieceProcessor(model_file=path)
-    rng = random.Random(3)
-    texts = [" ".join("".join(rng.choice(["the", "tion", "er", "ing", "qu", "é", "a", "s", ".", "ae\n"]) for _ in range(rng.randint(1, 5))) for _ in range(rng.randint(1, 40))) for _ in range(300)]
-    tokens, scores = token_count.Counter(path).add(texts)
-    exact = [i for i in range(len(texts)) if scores[i] > -(2**24)]
-    assert len(exact) > 250 and [tokens[i] for i in exact] == [len(sp.encode(texts[i])) for i in exact]
+    return sentencepiece.SentencePieceProcessor(model_file=str(path))
+
+
+@pytest.mark.skipif(not os.path.exists(SF), reason="no test data")
+def test_every_document_equals_the_library(tmp_path):
+    sp = as_unigram(tmp_path / "unigram.model")
+    texts = pq.read_table(f"{SF}/documents.parquet")["text"].to_pylist() + some_texts() + [LONG, "日本" * 30_000, "q7Zx" * 30_000, " " * 3000]
+    tokens, _ = token_count.Counter(unigram.MODEL).add(texts)
+    assert list(tokens) == [len(x) for x in sp.encode(texts)]
+
+
+def test_other_scores_equal_the_library(tmp_path):
+    """Scores that no case distinction helps with: fractions, and a lowest one that isn't so low."""
+
+    def fraction(piece):
+        piece.score = max(piece.score / 2953.7, -9.5)
+
+    sp = as_unigram(tmp_path / "fractions.model", fraction)
+    assert token_count.encoder(str(tmp_path / "fractions.model")).like is None
+    texts = pq.read_table(f"{SF}/documents.parquet")["text"].to_pylist()[:200] if os.path.exists(SF) else some_texts()
+    tokens, _ = token_count.Counter(str(tmp_path / "fractions.model")).add(texts)
+    assert list(tokens) == [len(x) for x in sp.encode(texts)]
 
 
 def test_count_odd_rows(odd, none):
@@ -80,8 +103,7 @@ def test_count_odd_rows(odd, none):
     for i, t, _ in odd_rows():
         if t and len(t) < 1000 and i is not None and i != 10:
             assert tuple(got[i][0])[1:] == viterbi(t)
-    one, tail = viterbi("word tail "), viterbi("word tail " * 2)
-    assert got[5][0]["n_tokens"] == one[0] + 59_999 * (tail[0] - one[0])
+    assert tuple(got[5][0])[1:] == viterbi(LONG)
     assert token_count.count_tokens(none).count() == 0
 
 
