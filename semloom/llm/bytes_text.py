@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,6 +11,8 @@ import pyarrow.compute as pc
 
 #: Text bytes that one vectorised step works on; temporaries are some tens of times this. A longer document is a step of its own.
 STEP_BYTES = 1 << 19
+#: Text bytes after which a worker gives memory that it no longer uses back to the machine; it would keep it for the next stage otherwise.
+TRIM_BYTES = 16 << 20
 _R = np.uint64(0x9E3779B97F4A7C15 | 1)
 _RI = np.uint64(pow(int(_R), -1, 1 << 64))
 _pow: dict[str, np.ndarray] = {}
@@ -53,6 +56,24 @@ def steps(column: pa.Array, limit: int = STEP_BYTES) -> Iterator[tuple[int, int,
         j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + limit, "right")) - 1)
         yield i, j, body[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
         i = j
+    _used[0] += len(body)
+    if _used[0] >= TRIM_BYTES:
+        _used[0] = 0
+        trim()
+
+
+_used = [0]
+_libc: list = []
+
+
+def trim() -> None:
+    pa.default_memory_pool().release_unused()
+    if not _libc:
+        try:
+            _libc.append(ctypes.CDLL("libc.so.6").malloc_trim)
+        except (OSError, AttributeError):  # another C library
+            _libc.append(lambda _: 0)
+    _libc[0](0)
 
 
 def lower(b: np.ndarray) -> np.ndarray:
@@ -92,11 +113,11 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_pow.get("r", ())) < n:
-        m = 1 << max(21, (n - 1).bit_length())
+        m = 1 << max(20, (n - 1).bit_length())
         r, ri = np.full(m, _R), np.full(m, _RI)
         r[0] = ri[0] = 1
         r, ri = np.multiply.accumulate(r), np.multiply.accumulate(ri)
-        if m > 1 << 22:
+        if m > 1 << 20:  # a long text; not kept
             return r, ri
         _pow["r"], _pow["ri"] = r, ri
     return _pow["r"], _pow["ri"]

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +13,19 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 2_000_000
 
 
+#: Bytes of rows that go to a Python worker at a time, unless the session says how many.
+BATCH_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """``df``, after its session's batches for Python have been bounded by bytes: some thousand long rows would be too much at once."""
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH, None) is None:
+        conf.set(_BATCH, str(BATCH_BYTES))
+    return df
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the folder the cluster names in ``spark.checkpoint.dir``; only a local session without it gets a temporary one."""
     sc = spark.sparkContext
@@ -28,6 +43,24 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def cut_by(df: DataFrame, partitions: int, column: str) -> DataFrame:
+    """``cut`` of ``df`` in partitions by the hash of a column, which Spark knows of later, so that groups and joins by it don't shuffle the
+    rows again. (A plan that adapts itself would forget; the session's setting is put back.)"""
+    conf = df.sparkSession.conf
+    adaptive = conf.get("spark.sql.adaptive.enabled")
+    conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return cut(df.repartition(partitions, column))
+    finally:
+        conf.set("spark.sql.adaptive.enabled", adaptive)
+
+
+def forget(spark: SparkSession) -> None:
+    """Have the driver notice what it no longer refers to: shuffle files stay until then."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` with a broadcast hint if it has at most ``rows`` rows; otherwise as it is, for a shuffled join.
 
@@ -35,5 +68,27 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def sampled(docs: DataFrame, chosen: DataFrame, keys: list[str], limit: int) -> pa.Table:
+    """(keys, text, and the other columns of ``chosen``) for fitting, in order of ``keys``: of each row of ``chosen`` (keys, a number ``place``
+    and others; a bounded number of rows) one text that ``docs`` has for its keys, the shortest, of equally long ones that of least hash.
+
+    Texts are taken in order of ``place`` as long as they have ``limit`` bytes together; a text that doesn't fit is left out whole. First only
+    lengths are fetched. Null texts don't count."""
+    chosen = F.broadcast(chosen)
+    texts = docs.select(*keys, "text").where("text IS NOT NULL")
+    size = F.min(F.struct(F.octet_length("text").alias("bytes"), F.xxhash64("text").alias("hash"))).alias("size")
+    known = texts.join(chosen.select(*keys, "place"), keys).groupBy(*keys, "place").agg(size).toArrow().sort_by("place")
+    fits, left = [], limit
+    for i, s in enumerate(known["size"].to_pylist()):
+        if s["bytes"] <= left:
+            left -= s["bytes"]
+            fits.append(i)
+    known = known.take(pa.array(fits, pa.int64()))
+    hashes = pa.array([s["hash"] for s in known["size"].to_pylist()], pa.int64())
+    wanted = F.broadcast(docs.sparkSession.createDataFrame(known.select(keys).append_column("hash", hashes), docs.select(*keys, F.lit(0).cast("bigint").alias("hash")).schema))
+    found = texts.withColumn("hash", F.xxhash64("text")).join(wanted, [*keys, "hash"]).dropDuplicates(keys).drop("hash")
+    return found.join(chosen.drop("place"), keys).toArrow().sort_by([(k, "ascending") for k in keys])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -73,13 +73,18 @@ def rolling(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n = len(points)
     if len(_powers.get("r", ())) <= n:
         m = 1 << max(20, n.bit_length())
+        powers = {}
         for name, base in (("r", _R), ("ri", np.uint64(pow(int(_R), -1, 1 << 64)))):
-            _powers[name] = np.full(m, base)
-            _powers[name][0] = 1
-            np.multiply.accumulate(_powers[name], out=_powers[name])
+            powers[name] = np.full(m, base)
+            powers[name][0] = 1
+            np.multiply.accumulate(powers[name], out=powers[name])
+        if m == 1 << 20:  # those of a long text aren't kept
+            _powers.update(powers)
+    else:
+        powers = _powers
     sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(mix(points.astype(np.uint64) + np.uint64(1)) * _powers["r"][:n], out=sums[1:])
-    return sums, _powers["ri"][: n + 1]
+    np.cumsum(mix(points.astype(np.uint64) + np.uint64(1)) * powers["r"][:n], out=sums[1:])
+    return sums, powers["ri"][: n + 1]
 
 
 def units(texts: list[str], path: str = MODEL) -> Units:
