@@ -4,19 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bytes_text as bt
 from . import storage
-from .bins import SegmentTree, best_fit_decreasing
+from .bins import Run, SegmentTree, best_fit_decreasing
 from .unigram import MODEL
 
 CAPACITY = 2048
 #: Rows of one size are ranked in this many independent buckets, so that a frequent size is no hot partition.
 BUCKETS = 256
-RUN_SCHEMA = "size bigint, run_rank bigint, run_count bigint, run_bin bigint, run_per bigint, run_offset bigint"
 
 
 def _tokens(path: str):
@@ -52,18 +52,24 @@ def ranked(rows: DataFrame, size: str, order: list[str], buckets: int = BUCKETS)
 
 
 def placed(items: DataFrame, size: str, counts: dict[int, int], capacity: int, tree: type) -> tuple[DataFrame, int]:
-    """``items`` (with ``size`` and ``rank``) with ``bin`` and ``offset``, and the number of bins."""
-    spark = items.sparkSession
+    """``items`` (with ``size`` and ``rank``) with ``bin`` and ``offset``, and the number of bins.
+
+    Each item finds its run among those of its size by binary search, so a size with many runs costs no more."""
     runs, bins = best_fit_decreasing(counts, capacity, tree)
-    table = spark.createDataFrame([tuple(x) for x in runs], RUN_SCHEMA).withColumnRenamed("size", size)
-    within = F.col("rank") - F.col("run_rank")
-    found = items.join(F.broadcast(table) if len(runs) <= storage.BROADCAST_ROWS else table, size).where((within >= 0) & (within < F.col("run_count")))
-    return (
-        found.withColumn("bin", F.col("run_bin") + F.floor(within / F.col("run_per")))
-        .withColumn("offset", F.col("run_offset") + F.pmod(within, F.col("run_per")) * F.col(size))
-        .drop("run_rank", "run_count", "run_bin", "run_per", "run_offset", "rank"),
-        bins,
-    )
+    table = np.array(runs, np.int64).reshape(-1, len(Run._fields))
+    table = table[np.lexsort((table[:, 1], table[:, 0]))]
+    sent = items.sparkSession.sparkContext.broadcast(table)  # a few runs for each of a bounded number of sizes
+
+    def find(sizes: pa.Array, ranks: pa.Array) -> pa.Array:
+        own, rank = (np.asarray(x).astype(np.int64) for x in (sizes, ranks))
+        each = np.unique(sent.value[:, 0])
+        key = lambda s, r: np.searchsorted(each, s).astype(np.uint64) << np.uint64(44) | r.astype(np.uint64)
+        of = sent.value[np.searchsorted(key(sent.value[:, 0], sent.value[:, 1]), key(own, rank), "right") - 1]
+        within = rank - of[:, 1]
+        return pa.StructArray.from_arrays([pa.array(of[:, 3] + within // of[:, 4]), pa.array(of[:, 5] + within % of[:, 4] * own)], ["bin", "offset"])
+
+    found = items.withColumn("place", F.arrow_udf(find, "bin bigint, offset bigint")(F.col(size), F.col("rank")))
+    return found.withColumn("bin", F.col("place.bin")).withColumn("offset", F.col("place.offset")).drop("place", "rank"), bins
 
 
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY, path: str = MODEL) -> DataFrame:
@@ -79,7 +85,7 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY, path: str = MODEL)
     other. Repeated rows are packed once each. Pieces of one size are interchangeable; they are taken by hash of (doc_id, part). An empty
     table gives no rows. Columns but doc_id and text are not looked at.
     """
-    sized = docs.select("doc_id", "text").mapInArrow(_tokens(path), docs.select("doc_id", F.lit(0).cast("bigint").alias("tokens")).schema)
+    sized = storage.bounded(docs).select("doc_id", "text").mapInArrow(_tokens(path), docs.select("doc_id", F.lit(0).cast("bigint").alias("tokens")).schema)
     parts = F.greatest(F.lit(1), F.ceil(F.col("tokens") / capacity)).cast("int")
     pieces = storage.cut(
         sized.withColumn("n_parts", parts)

@@ -87,12 +87,13 @@ def test_packing_odd_rows(odd, none):
     assert plain(packing.pack_documents(odd)) == plain(packing.pack_documents(odd.repartition(1)))
 
 
-def shard_checked(got, rows, shard_bytes, granule):
+def shard_checked(got, rows, shard_bytes):
     groups = defaultdict(list)
     for i, t in rows:
         groups[("null", i) if t is None else t].append((i, len((t or "").encode())))
-    capacity = shard_bytes // granule
-    units = {k: max(1, -(-sum(b for _, b in v) // granule)) for k, v in groups.items()}
+    units = {k: max(1, sum(b for _, b in v)) for k, v in groups.items()}
+    more = {k: max(0, u.bit_length() - sharding.DIGITS) for k, u in units.items()}
+    units = {k: -(-u // 2 ** more[k]) * 2 ** more[k] for k, u in units.items()}
     by = {r["doc_id"]: r for r in got}
     assert Counter(r["doc_id"] for r in got) == Counter(i for i, _ in rows)
     fill, whole = Counter(), defaultdict(set)
@@ -104,22 +105,23 @@ def shard_checked(got, rows, shard_bytes, granule):
             fill[next(iter(mine))[2]] += units[k]
             whole[next(iter(mine))[2]].add(k)
     for s, n in fill.items():
-        assert n <= capacity or len(whole[s]) == 1
-    return units, capacity, fill
+        assert n <= shard_bytes or len(whole[s]) == 1
+    return units, fill
 
 
-def test_sharding_equals_brute_force(spark):
+@pytest.mark.parametrize("times,shard_bytes", [(1, 4096), (200, 4096 * 200)])
+def test_sharding_equals_brute_force(spark, times, shard_bytes):
     rng = random.Random(3)
-    rows = [(i, "ab" * rng.choice([1, 5, 30, 31, 32, 80, 200, 333]) + str(i % 90)) for i in range(260)] + [(900 + i, "z" * 2000) for i in range(3)]
-    got = sharding.shard_documents(spark.createDataFrame(rows, "doc_id bigint, text string"), 4096, 64).collect()
-    units, capacity, fill = shard_checked(got, rows, 4096, 64)
-    _, n = item_by_item([u for u in units.values() if u <= capacity], capacity)
-    large = sum(u > capacity for u in units.values())
+    rows = [(i, "ab" * times * rng.choice([1, 5, 30, 31, 32, 80, 200, 333, 340]) + str(i % 90)) for i in range(260)] + [(900 + i, "z" * 2000 * times) for i in range(3)]
+    got = sharding.shard_documents(spark.createDataFrame(rows, "doc_id bigint, text string"), shard_bytes).collect()
+    units, fill = shard_checked(got, rows, shard_bytes)
+    _, n = item_by_item([u for u in units.values() if u <= shard_bytes], shard_bytes)
+    large = sum(u > shard_bytes for u in units.values())
     assert large == 1 and sorted(fill) == list(range(n + large))
 
 
 def test_sharding_odd_rows(odd, none):
-    got = sharding.shard_documents(odd, 8192, 64).collect()
+    got = sharding.shard_documents(odd, 8192).collect()
     assert len(got) == len(odd_rows())
     by = defaultdict(set)
     for r in got:
