@@ -10,13 +10,12 @@ import hashlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType
 
 from .bytes_text import to_string
+from .storage import bounded
 
 LANES = 1024
 _BYTES = 2 * LANES
@@ -85,16 +84,69 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     of paragraphs. Null text: null in all but doc_id. Empty or blank text: no paragraphs, the zero vector. Repeated rows and a
     null doc_id: a row each, as they stand. An empty table gives no rows. Columns but doc_id and text are not looked at.
     """
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(_batches, SCHEMA)
+    return bounded(docs).select(F.col("doc_id").cast("bigint"), "text").mapInArrow(_batches, SCHEMA)
 
 
-def _sum(values: pd.Series) -> bytes:
-    total = np.zeros(LANES, np.uint16)
-    for v in values.dropna():
-        total += np.frombuffer(v, "<u2")
-    return total.astype("<u2").tobytes()
+def _added(width: int):
+    """Sums of the fingerprints (the last column) of equal keys (the others), of as many keys at a time as ``_STEP``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[tuple, np.ndarray] = {}
+        schema = None
+
+        def found() -> pa.RecordBatch:
+            columns = list(zip(*total)) if width else []
+            values = pa.array([v.astype("<u2").tobytes() for v in total.values()], pa.binary())
+            return pa.record_batch([*(pa.array(c, schema.field(i).type) for i, c in enumerate(columns)), values], names=schema.names)
+
+        for batch in batches:
+            schema = batch.schema
+            keys = list(zip(*(c.to_pylist() for c in batch.columns[:width]))) if width else [()] * batch.num_rows
+            for key, v in zip(keys, batch.column(width).to_pylist()):
+                if key not in total:
+                    if len(total) >= _STEP:
+                        yield found()
+                        total.clear()
+                    total[key] = np.zeros(LANES, np.uint16)
+                if v is not None:
+                    total[key] += np.frombuffer(v, "<u2")
+        if total:
+            yield found()
 
+    return run
 
-def sum_fingerprints(column: str) -> Column:
-    """An aggregate: the fingerprint of all paragraphs of a group of documents; nulls add nothing."""
-    return F.pandas_udf(_sum, BinaryType())(F.col(column))
+
+def sum_fingerprints(prints: DataFrame, keys: list[str], column: str = "fingerprint") -> DataFrame:
+    """(keys, fingerprint): of each group of rows of ``prints`` by ``keys`` the fingerprint of all their paragraphs, from ``column``.
+
+    Each task adds up what it has of a group before one row of it is shuffled, so no task holds a group's vectors. Keys must be hashable
+    (no lists or maps); a null is a key. Null fingerprints add nothing; a group of them gives the zero vector. Repeated rows count as often
+    as they come. No rows: none, without ``keys`` too. Other columns are not looked at.
+    """
+    rows = bounded(prints).select(*keys, F.col(column).alias("fingerprint"))
+    parts = rows.mapInArrow(_added(len(keys)), rows.schema)
+    parts = parts.repartition(*keys) if keys else parts.repartition(1)
+    # a partition has few rows a group, one of each task; its keys come in order, so each is whole before the next
+    return parts.sortWithinPartitions(*keys).mapInArrow(_ordered(len(keys)), rows.schema) if keys else parts.mapInArrow(_added(0), rows.schema)
+
+
+def _ordered(width: int):
+    """``_added`` where equal keys follow each other: gives each key once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, total, schema = None, None, None
+        for batch in batches:
+            schema = batch.schema
+            done: list[tuple] = []
+            for k, v in zip(zip(*(c.to_pylist() for c in batch.columns[:width])), batch.column(width).to_pylist()):
+                if total is None or k != key:
+                    if total is not None:
+                        done.append((*key, total.astype("<u2").tobytes()))
+                    key, total = k, np.zeros(LANES, np.uint16)
+                total += np.frombuffer(v, "<u2")
+            if done:
+                yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*done), schema)], names=schema.names)
+        if total is not None:
+            yield pa.record_batch([pa.array([c], f.type) for c, f in zip((*key, total.astype("<u2").tobytes()), schema)], names=schema.names)
+
+    return run

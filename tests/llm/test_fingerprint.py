@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 from hypothesis import given, settings
@@ -43,5 +44,39 @@ def test_documents(spark, odd, none):
     both = spark.createDataFrame([(1, "\n".join(lines)), (2, "\n\n".join(mixed)), (3, "one\ntwo\nthree")], "doc_id bigint, text string")
     a, b, c = (r["fingerprint"] for r in fp.fingerprint_documents(both).orderBy("doc_id").collect())
     assert a == b != c and fp.insert(c, "two") == a
-    total = fp.fingerprint_documents(both).groupBy().agg(fp.sum_fingerprints("fingerprint").alias("f")).head()["f"]
-    assert total == fp.combine(fp.combine(a, b), c)
+    assert a == by_hand(lines) and c == by_hand(["one", "two", "three"])
+
+
+def by_hand(lines):
+    """The sum itself, lane by lane in Python's numbers."""
+    total = [0] * fp.LANES
+    for x in lines:
+        h = hashlib.shake_128(x.strip().encode()).digest(2 * fp.LANES)
+        total = [(t + h[2 * i] + 256 * h[2 * i + 1]) % 65536 for i, t in enumerate(total)]
+    return b"".join(t.to_bytes(2, "little") for t in total)
+
+
+def test_fingerprints_equal_the_sum_by_hand(spark):
+    texts = ["one\n two \n\n\ttwo", "x" * 5000 + "\né", "\n".join(f"line {i % 7}" for i in range(60)), ""]
+    rows = fp.fingerprint_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()
+    for r in rows:
+        lines = [x for x in texts[r["doc_id"]].split("\n") if x.strip()]
+        assert r["fingerprint"] == by_hand(lines) and r["n_paragraphs"] == len(lines)
+
+
+def test_sums_of_groups(spark, monkeypatch):
+    rng = random.Random(2)
+    rows = [(rng.choice(["a", "b", "b", None]), rng.randrange(3), rng.choice([None, *(fp.fingerprint([str(i)]) for i in range(4))])) for _ in range(200)] + [("none", 0, None)]
+    prints = spark.createDataFrame(rows, "source string, day int, print binary").repartition(5)
+    want = {}
+    for s, d, v in rows:
+        total = want.setdefault((s, d), fp.fingerprint([]))
+        want[s, d] = fp.combine(total, v) if v else total
+    got = fp.sum_fingerprints(prints, ["source", "day"], "print").collect()
+    assert len(got) == len(want) and {(r["source"], r["day"]): bytes(r["fingerprint"]) for r in got} == want
+    (whole,) = fp.sum_fingerprints(prints.withColumnRenamed("print", "fingerprint"), []).collect()
+    everything = fp.fingerprint([])
+    for v in want.values():
+        everything = fp.combine(everything, v)
+    assert bytes(whole["fingerprint"]) == everything
+    assert fp.sum_fingerprints(prints.limit(0), ["day"], "print").count() == 0
