@@ -16,9 +16,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bytes_text as bt
+from . import storage
 
-#: Documents per language that the model is fitted on at most (those of least hash), and code-switched word runs made of them.
-SAMPLE, RUNS = 300, 6000
+#: Documents per language that the model is fitted on at most (those of least hash), the bytes of all of them, and the code-switched word
+#: runs made of them, for each language.
+SAMPLE, SAMPLE_BYTES, RUNS = 300, 64 << 20, 1500
 EPOCHS, RATE, L2 = 60, 0.5, 1e-4
 LEXICON = 256
 GRAM_BITS, AFFIX_BITS, AFFIX = 16, 15, 3
@@ -161,7 +163,7 @@ def _mixed(column: pa.Array, labels: np.ndarray, rng: np.random.Generator) -> tu
     usable = [i for i, (s, _) in enumerate(spans) if len(s)]
     by = {c: [i for i in usable if labels[i] == c] for c in np.unique(labels[usable])}
     out, tags, made = [], [], 0
-    while made < RUNS and by:
+    while made < RUNS * len(by):
         pieces, tag, one = [], [], rng.choice(list(by))
         mixed = rng.random() < 0.5
         for _ in range(int(rng.integers(1, 6))):
@@ -225,14 +227,14 @@ def fit_texts(column: pa.Array, langs: list[str], seed: int = 7) -> Model | None
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
-    """Fit on at most ``sample`` documents of each value of ``lang``, those whose doc_id has the least hash; None if none has one.
+    """Fit on at most ``sample`` documents of each value of ``lang``, those whose doc_id has the least hash, and at most SAMPLE_BYTES of
+    text; None if none has one.
 
     The ids are found first, over doc_id and lang alone; then only those texts are fetched."""
     known = docs.select("doc_id", "lang").where("doc_id IS NOT NULL AND lang IS NOT NULL").distinct()
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    ids = known.withColumn("rank", rank).where(F.col("rank") <= sample).select("doc_id", "lang")
-    rows = docs.select("doc_id", "lang", "text").where("text IS NOT NULL").join(F.broadcast(ids), ["doc_id", "lang"]).toArrow()
-    rows = rows.sort_by([("doc_id", "ascending"), ("lang", "ascending"), ("text", "ascending")])  # they come in any order
+    chosen = storage.cut(known.withColumn("place", rank).where(F.col("place") <= sample))
+    rows = storage.sampled(docs, chosen, ["doc_id", "lang"], SAMPLE_BYTES)
     return fit_texts(bt.to_string(rows["text"]), rows["lang"].to_pylist())
 
 
@@ -300,7 +302,7 @@ def identify_languages(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     doc_id: a row each. An empty table gives no rows; if no row has a lang, lang is null and every text with a word is kept.
     Columns but these are not looked at.
     """
-    model = fit(docs, sample)
+    model = fit(storage.bounded(docs), sample)
     found = docs.select("doc_id", labelled("text", model).alias("found"))
     return found.select("doc_id", "found.*", _keep("found", model).alias("keep"))
 
@@ -311,8 +313,11 @@ def _keep(found: str, model: Model | None) -> Column:
 
 
 def keep_identified(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """The rows of ``docs`` that are kept, with all their columns."""
-    model = fit(docs, sample)
+    """The rows of ``docs`` (doc_id, text, lang) that ``identify_languages`` keeps, with all their columns, whatever their names.
+
+    Rows of null text and of text without words go; a null doc_id doesn't matter; of repeated rows all stay or none. An empty table gives no
+    rows. If no row has a lang, all with a word stay."""
+    model = fit(storage.bounded(docs), sample)
 
     def run(column: pa.Array) -> pa.Array:
         found = label_batch(column, model)

@@ -10,9 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bytes_text as bt
+from . import storage
 
-#: Labelled rows fitted on at most (those of least hash).
-SAMPLE = 4000
+#: Labelled rows fitted on at most (those of least hash), and bytes of their texts.
+SAMPLE, SAMPLE_BYTES = 4000, 64 << 20
 #: A word, or a beginning of so many bytes of a longer word, is in the toxic lexicon if it is in so many and in such a share of the
 #: sample's toxic documents, and so many times as frequent among their words as among the others'.
 LEXICON_MIN, LEXICON_SHARE, LEXICON_RATIO, PREFIXES = 3, 0.01, 8.0, (4, 5, 6, 7, 8)
@@ -168,17 +169,17 @@ def fit_texts(column: pa.Array, quality: np.ndarray, toxic: np.ndarray) -> Model
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | None:
-    """Fit on at most ``sample`` labelled documents, those whose doc_id has the least hash; None if there are none.
-
-    Rows of ``labels`` (doc_id, quality, toxic) with a null are left out; of repeated ones one counts."""
-    chosen = (
-        labels.select("doc_id", "quality", "toxic").dropna().groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    )
-    rows = docs.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "quality", "toxic").toArrow()
+    """Fit on at most ``sample`` labelled documents of ``docs``, those whose doc_id has the least hash, and at most SAMPLE_BYTES of text;
+    None if there are none.
+
+    Rows of ``labels`` (doc_id, quality, toxic) with a null, or without a document, are left out; of repeated ones one counts."""
+    there = docs.select("doc_id").where("doc_id IS NOT NULL")
+    known = labels.select("doc_id", "quality", "toxic").dropna().join(there, "doc_id", "left_semi")
+    known = known.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
+    chosen = storage.cut(known.withColumn("place", F.xxhash64("doc_id")).orderBy("place", "doc_id").limit(sample))
+    rows = storage.sampled(docs, chosen, ["doc_id"], SAMPLE_BYTES)
     if not rows.num_rows:
         return None
-    rows = rows.sort_by([("doc_id", "ascending"), ("text", "ascending")])  # they come in any order
     return fit_texts(bt.to_string(rows["text"]), rows["quality"].to_numpy(), rows["toxic"].to_numpy())
 
 
@@ -212,10 +213,12 @@ def classify_documents(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE)
     a row each. An empty ``docs`` gives no rows; without usable labels scores are null and every text with a word is kept.
     Columns but these are not looked at.
     """
-    model = fit(docs, labels, sample)
+    model = fit(storage.bounded(docs), labels, sample)
     return docs.select(F.col("doc_id"), scored("text", model).alias("scores")).select("doc_id", "scores.quality", "scores.toxicity", "scores.keep")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """The rows of ``docs`` that are kept, with all their columns."""
-    return docs.where(scored("text", fit(docs, labels, sample))["keep"])
+    """The rows of ``docs`` (doc_id, text) that ``classify_documents`` keeps, with all their columns, whatever their names.
+
+    Rows of null, empty or blank text go; a null doc_id doesn't matter; of repeated rows all stay or none. An empty table gives no rows."""
+    return docs.where(scored("text", fit(storage.bounded(docs), labels, sample))["keep"])

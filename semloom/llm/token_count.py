@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytes_text as bt
+from .storage import bounded
 from .unigram import MODEL, load, units
 
 #: Units, and results for a unit after some sum, that a worker keeps; when there are more it starts anew, which only costs time.
@@ -212,4 +213,4 @@ def count_tokens(docs: DataFrame, path: str = MODEL) -> DataFrame:
     Empty text: 0 and 0. Repeated rows and a null doc_id: a row each. An empty table gives no rows. Columns but doc_id and text are
     not looked at. ``path`` is the vocabulary's file, which every executor must have.
     """
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(_counted(path), SCHEMA)
+    return bounded(docs).select(F.col("doc_id").cast("bigint"), "text").mapInArrow(_counted(path), SCHEMA)
