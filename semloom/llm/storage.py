@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -57,8 +58,10 @@ def cut_by(df: DataFrame, partitions: int, column: str) -> DataFrame:
 
 def forget(spark: SparkSession) -> None:
     """Have the driver notice what it no longer refers to: shuffle files stay until then."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # what the first round frees may hold on to more
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
