@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 LIMIT = 20
+#: Terms of queries that are sent to every task at most.
+ASKED = 1_000_000
 
 
 class _Folding(dict):
@@ -42,7 +44,9 @@ def _folded(texts: pa.Array) -> pa.Array:
 def terms(text: Column, fold: bool = True) -> Column:
     """Terms of a text: runs of letters and digits (and marks that stayed), lower case. ``fold``: without accents, through Arrow."""
     low = F.lower(text)
-    return F.regexp_extract_all(F.arrow_udf(_folded, "string")(low) if fold else low, F.lit(r"[\p{L}\p{N}\p{Co}][\p{L}\p{N}\p{Co}\p{M}]*"), F.lit(0))
+    if fold:  # only texts beyond ASCII go to Python
+        low = F.coalesce(F.arrow_udf(_folded, "string")(F.when(F.octet_length(low) > F.length(low), low)), low)
+    return F.regexp_extract_all(low, F.lit(r"[\p{L}\p{N}\p{Co}][\p{L}\p{N}\p{Co}\p{M}]*"), F.lit(0))
 
 
 def query_terms(text: str) -> list[str]:
@@ -58,10 +62,12 @@ def query_terms(text: str) -> list[str]:
 
 
 class Index(NamedTuple):
-    """postings: (term, id, tf, positions); lengths: (id, length), a row for every document."""
+    """postings: (term, id, tf, positions, length of the document); totals: one row (documents, average): their number and mean length.
+
+    Postings stored in order of their terms are read where a query's terms are, by the statistics of the files' row groups."""
 
     postings: DataFrame
-    lengths: DataFrame
+    totals: DataFrame
 
 
 def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,17 +87,17 @@ def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch(
             [
                 coded.dictionary.take(pa.array(codes[order][first])).cast(pa.string()), batch.column("id").cast(pa.int64()).take(pa.array(row[order][first])),
-                pa.array(np.diff(border).astype(np.int64)), pa.ListArray.from_arrays(pa.array(border), pa.array(position[order])),
+                pa.array(np.diff(border).astype(np.int64)), pa.ListArray.from_arrays(pa.array(border), pa.array(position[order])), pa.array(size[row[order][first]].astype(np.int32)),
             ],
-            names=["term", "id", "tf", "positions"],
+            names=["term", "id", "tf", "positions", "length"],
         )
 
 
 def build_index(docs: DataFrame, fold: bool = True) -> Index:
     """Of ``docs`` (id, text), one row an id. A document's postings are all in its row, so nothing is shuffled."""
     split = docs.select("id", terms(F.col("text"), fold).alias("terms"))
-    postings = split.mapInArrow(_postings, "term string, id bigint, tf bigint, positions array<int>")
-    return Index(postings, split.select("id", F.size("terms").alias("length")))
+    postings = split.mapInArrow(_postings, "term string, id bigint, tf bigint, positions array<int>, length int")
+    return Index(postings, split.agg(F.count("*").alias("documents"), F.avg(F.size("terms")).alias("average")))
 
 
 # the query language
@@ -282,20 +288,40 @@ def _term(p: Phrase, i: int) -> Column:
     return term.startswith(p.terms[i]) if p.prefix and i == len(p.terms) - 1 else term == p.terms[i]
 
 
-def occurrences(index: Index, p: Phrase) -> DataFrame:
-    """(id, tf, starts) of the documents with a phrase. Only its terms' postings are read; places are intersected, shifted, per document."""
-    rows = []
-    for i in range(len(p.terms)):
-        rows.append(index.postings.where(_term(p, i)).select("id", F.lit(i).alias("i"), F.explode("positions").alias("position")))
-    if not rows:
-        return index.lengths.sparkSession.createDataFrame([], "id bigint, tf bigint, starts array<int>")
-    every = rows[0]
-    for r in rows[1:]:
-        every = every.union(r)
-    starts = every.select("id", "i", (F.col("position") - F.col("i")).alias("start")).distinct().groupBy("id", "start").agg(F.count("*").alias("n")).where(F.col("n") == len(p.terms))
-    if p.initial:
-        starts = starts.where("start = 0")
-    return starts.groupBy("id").agg(F.count("*").alias("tf"), F.array_sort(F.collect_list("start")).alias("starts"))
+def _wanted(index: Index, found: list[Phrase]) -> DataFrame:
+    """The postings of some phrases' terms, in one scan."""
+    every = [(p, i) for p in found for i in range(len(p.terms))]
+    if not every:
+        return index.postings.limit(0)
+    whole = sorted({p.terms[i] for p, i in every if not (p.prefix and i == len(p.terms) - 1)})
+    condition = F.col("term").isin(whole) if whole else F.lit(False)
+    for p, _ in every:
+        if p.prefix:
+            condition = condition | F.col("term").startswith(p.terms[-1])
+    return index.postings.where(condition)
+
+
+def occurrences(index: Index, found: list[Phrase]) -> DataFrame:
+    """(id, length, s0, s1, ...): of the documents with any term of some phrases the places where each phrase begins. Each document's
+    postings meet in one row; places are intersected there, shifted."""
+    rows = _wanted(index, found)
+    # of a beginning's several terms all places count
+    places = [F.flatten(F.collect_list(F.when(_term(p, i), F.col("positions")))).alias(f"p{k}_{i}") for k, p in enumerate(found) for i in range(len(p.terms))]
+    each = rows.groupBy("id").agg(F.first("length").alias("length"), *places)
+    none = F.array().cast("array<int>")
+
+    def less(i: int):
+        return lambda x: x - i
+
+    def starts(k: int, p: Phrase) -> Column:
+        out = None
+        for i in range(len(p.terms)):
+            shifted = F.transform(f"p{k}_{i}", less(i))
+            out = shifted if out is None else F.array_intersect(out, shifted)
+        out = none if out is None else out
+        return F.filter(out, lambda x: x == 0) if p.initial else out
+
+    return each.select("id", "length", *[starts(k, p).alias(f"s{k}") for k, p in enumerate(found)])
 
 
 def _widened(starts: str, n: int):
@@ -314,59 +340,57 @@ def _widened(starts: str, n: int):
     return widen
 
 
-def matches(index: Index, tree) -> DataFrame:
-    """(id) of the documents that a query's tree holds for."""
+def holds(tree, numbers: Iterator[int]) -> Column:
+    """Whether a query's tree holds for a row of ``occurrences`` of its phrases; ``numbers`` counts them."""
     if isinstance(tree, Phrase):
-        return occurrences(index, tree).select("id")
+        return F.size(f"s{next(numbers)}") > 0
     if isinstance(tree, Near):
-        found = None
-        for k, p in enumerate(tree.phrases):
-            one = occurrences(index, p).select("id", F.col("starts").alias(f"s{k}"))
-            found = one if found is None else found.join(one, "id")
+        own = [next(numbers) for _ in tree.phrases]
         # some choice of one place each lies within the distance: the gap between the first's end and the last's start
-        spans = F.transform("s0", lambda s: F.struct(s.alias("low"), (s + len(tree.phrases[0].terms)).alias("low_end"), s.alias("high")))
-        for k in range(1, len(tree.phrases)):
-            spans = F.flatten(F.transform(spans, _widened(f"s{k}", len(tree.phrases[k].terms))))
-        return found.where(F.exists(spans, lambda s: s["high"] - s["low_end"] <= tree.distance)).select("id")
-    left, right = matches(index, tree.left), matches(index, tree.right)
-    if isinstance(tree, And):
-        return left.join(right, "id", "left_semi")
-    if isinstance(tree, Or):
-        return left.union(right).distinct()
-    return left.join(right, "id", "left_anti")
+        spans = F.transform(f"s{own[0]}", lambda s: F.struct(s.alias("low"), (s + len(tree.phrases[0].terms)).alias("low_end"), s.alias("high")))
+        for k, p in zip(own[1:], tree.phrases[1:]):
+            spans = F.flatten(F.transform(spans, _widened(f"s{k}", len(p.terms))))
+        return F.exists(spans, lambda s: s["high"] - s["low_end"] <= tree.distance)
+    left = holds(tree.left, numbers)
+    right = holds(tree.right, numbers)
+    return left & right if isinstance(tree, And) else left | right if isinstance(tree, Or) else left & ~right
 
 
 def scored(index: Index, tree) -> DataFrame:
-    """(id, score) of the matching documents, smaller is better: each of the query's phrases adds its part, wherever it stands."""
-    documents = index.lengths.agg(F.count("*").alias("documents"), F.avg("length").alias("average"))
-    parts = None
-    for p in phrases(tree):
-        found = occurrences(index, p)
-        with_n = found.select("id", "tf").crossJoin(F.broadcast(found.agg(F.count("*").alias("n"))))
-        parts = with_n if parts is None else parts.unionAll(with_n)
-    hits = matches(index, tree)
-    weight = F.log((F.col("documents") - F.col("n") + 0.5) / (F.col("n") + 0.5))
-    weight = F.when(weight <= 0, LEAST_IDF).otherwise(weight)
-    saturated = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("average")))
-    return (
-        parts.join(hits, "id", "left_semi").join(index.lengths, "id").crossJoin(F.broadcast(documents))
-        .groupBy("id").agg(F.sum(-weight * saturated).alias("score"))
-    )
+    """(id, score) of the matching documents, smaller is better: each of the query's phrases adds its part, wherever it stands.
+
+    One scan of the postings and one shuffle of those asked for; how many documents have a phrase comes from the same rows."""
+    found = phrases(tree)
+    each = occurrences(index, found)
+    counts = each.agg(*[F.coalesce(F.sum((F.size(f"s{k}") > 0).cast("bigint")), F.lit(0)).alias(f"n{k}") for k in range(len(found))])
+    rows = each.where(holds(tree, iter(range(len(found))))).crossJoin(F.broadcast(counts)).crossJoin(F.broadcast(index.totals))
+    score = F.lit(0.0)
+    for k in range(len(found)):
+        tf = F.size(f"s{k}")
+        score = score + F.when(tf > 0, -_weight(F.col(f"n{k}")) * _saturated(tf)).otherwise(0.0)
+    return rows.select("id", score.alias("score"))
+
+
+def _weight(n: Column) -> Column:
+    weight = F.log((F.col("documents") - n + 0.5) / (n + 0.5))
+    return F.when(weight <= 0, LEAST_IDF).otherwise(weight)
+
+
+def _saturated(tf: Column) -> Column:
+    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("length") / F.col("average")))
 
 
 def search_any(index: Index, asked: DataFrame, limit: int = LIMIT) -> DataFrame:
     """(item, id, score, rank) of the best documents for each of ``asked`` (item, text): as ``search`` for any of the text's terms, of
-    which each occurrence adds its part. The terms asked for are sent to every task."""
+    which each occurrence adds its part. Up to ASKED terms asked for are sent to every task; more are joined."""
     from pyspark.sql import Window
 
     words = asked.select("item", F.explode(terms(F.col("text"))).alias("term")).groupBy("item", "term").agg(F.count("*").alias("times"))
-    documents = index.lengths.agg(F.count("*").alias("documents"), F.avg("length").alias("average"))
-    known = index.postings.select("term", "id", "tf").join(F.broadcast(words.select("term").distinct()), "term", "left_semi")
-    weight = F.log((F.col("documents") - F.col("n") + 0.5) / (F.col("n") + 0.5))
-    weights = known.groupBy("term").agg(F.count("*").alias("n")).crossJoin(F.broadcast(documents)).select("term", "average", F.when(weight <= 0, LEAST_IDF).otherwise(weight).alias("weight"))
-    saturated = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("average")))
-    hits = known.join(F.broadcast(weights), "term").join(index.lengths, "id").join(F.broadcast(words), "term")
-    found = hits.groupBy("item", "id").agg(F.sum(-F.col("weight") * saturated * F.col("times")).alias("score"))
+    words = F.broadcast(words) if words.limit(ASKED + 1).count() <= ASKED else words
+    known = index.postings.select("term", "id", "tf", "length").join(words.select("term").distinct(), "term", "left_semi")
+    weights = known.groupBy("term").agg(F.count("*").alias("n")).crossJoin(F.broadcast(index.totals)).select("term", "average", _weight(F.col("n")).alias("weight"))
+    hits = known.join(weights, "term").join(words, "term")
+    found = hits.groupBy("item", "id").agg(F.sum(-F.col("weight") * _saturated(F.col("tf")) * F.col("times")).alias("score"))
     place = F.row_number().over(Window.partitionBy("item").orderBy("score", "id")) - 1
     return found.withColumn("rank", place).where(F.col("rank") < limit)
 
@@ -380,7 +404,7 @@ def search(index: Index, query: str, limit: int = LIMIT, sanitize: bool = False)
         clean = re.sub(r"[^a-zA-Z0-9\s]", " ", query).strip()
         if sanitize and clean and clean != query:
             return search(index, clean, limit)
-        return index.lengths.sparkSession.createDataFrame([], "id bigint, score double, rank int")
+        return index.postings.sparkSession.createDataFrame([], "id bigint, score double, rank int")
     from semloom.operators.encoding import ranked
 
     top = scored(index, tree).orderBy("score", "id").limit(limit)

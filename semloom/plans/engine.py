@@ -21,6 +21,7 @@ from semloom.sources import corpus
 DEPTH = 20
 THRESHOLD = 0.01
 SHOWN = 5
+POSTINGS = "term string, id bigint, tf bigint, positions array<int>, length int"
 log = logging.getLogger("semloom")
 
 
@@ -191,9 +192,40 @@ class Engine:
     def rebuild_cache(self) -> None:
         """Encode all facts anew."""
         docs = fact_plans.documents(self.facts())
-        vectors = encoding.encode_all(docs, self.store.read("vectors"), self.config.dim)
+        vectors = encoding.encode_all(docs, self.store.read("vectors"), self.config.dim, self.weights())
         self.store.commit({"fact_vectors": vectors}, {"encoder_version": lifecycle.ENCODER_VERSION})
 
+    def weights(self) -> DataFrame:
+        """(word, df, idf) over the facts, counted when first asked for after they changed and kept in the store."""
+        now = self.store.folders("facts")
+        if self.store.get_meta("idf_of") != now or self.store.read("idf") is None:
+            self.store.commit({"idf": encoding.idf(fact_plans.documents(self.facts()))}, {"idf_of": now})
+        return self.store.read("idf")
+
+    def index(self) -> lexical.Index:
+        """The stored full-text index of the facts; built if the store has none."""
+        if self.store.get_meta("index_of") is None:
+            self._build_index()
+        meta = self.store.manifest()["meta"]
+        postings, gone = self.store.read("postings"), self.store.read("gone")
+        if postings is None:
+            postings = self.spark.createDataFrame([], POSTINGS)
+        if gone is not None:
+            postings = postings.join(gone.select(F.col("fact_id").alias("id")), "id", "left_anti")
+        n, length = meta["index_of"]
+        totals = self.spark.createDataFrame([(n, length / n if n else 0.0)], "documents bigint, average double")
+        return lexical.Index(postings, totals)
+
+    def _postings(self, docs: DataFrame) -> tuple[DataFrame, int, int]:
+        """(postings as they are stored, documents, terms) of some facts."""
+        built = lexical.build_index(docs)
+        total = built.totals.head()
+        return built.postings.repartitionByRange("term", "id").sortWithinPartitions("term", "id"), total["documents"], round(total["documents"] * (total["average"] or 0))
+
+    def _build_index(self) -> None:
+        rows, n, length = self._postings(fact_plans.documents(self.facts()))
+        self.store.commit({"postings": rows if n else None, "gone": None}, {"index_of": [n, length]})
+
     # facts
 
     def facts(self) -> DataFrame:
@@ -209,35 +241,47 @@ class Engine:
         return first, added
 
     def _append(self, rows: DataFrame, gone: int | None) -> tuple[int, int]:
-        from pyspark.sql import Window
-
         highest = int(self.store.get_meta("highest_fact_id", 0) or 0)
-        numbered = rows.withColumn("fact_id", (F.row_number().over(Window.orderBy(F.monotonically_increasing_id())) + highest).cast("bigint"))
-        numbered = self.spark.createDataFrame(numbered.select("fact_id", "content", "trust").toArrow(), "fact_id bigint, content string, trust double")
-        n = numbered.count()
-        base = self.facts() if gone is None else fact_plans.removed(self.facts(), self._ids(gone))
-        after = fact_plans.added(base, numbered, highest)
-        tables = {"facts": after}
-        if self.model() is not None:
+        if gone is not None:
+            self.remove(gone)
+        # written as they come, with their place; then numbered by what stands in earlier partitions, of which there is one row each
+        with self.store.staged(rows.select("content", "trust", F.monotonically_increasing_id().alias("place"))) as staged:
+            part = F.shiftright("place", 33)
+            first, found = {}, highest
+            for r in staged.groupBy(part.alias("part")).agg(F.count("*").alias("n"), F.min("place").alias("start")).orderBy("part").collect():
+                first[r["part"]], found = found + 1 - r["start"], found + r["n"]
+            if not first:
+                return highest + 1, 0
+            shift = self.spark.createDataFrame(list(first.items()), "part bigint, shift bigint")
+            numbered = staged.withColumn("part", part).join(F.broadcast(shift), "part").select((F.col("place") + F.col("shift")).alias("fact_id"), "content", "trust")
             new = fact_plans.documents(numbered)
-            weights = encoding.idf(fact_plans.documents(after))
-            fresh = encoding.encode_all(new, self.store.read("vectors"), self.config.dim, weights)
-            cached = self.store.read("fact_vectors")
-            if cached is not None and gone is not None:
-                cached = cached.where(F.col("id") != gone)
-            tables["fact_vectors"] = fresh if cached is None else cached.unionByName(fresh)
-        self.store.commit(tables, {"highest_fact_id": highest + n})
-        return highest + 1, n
+            more = {"facts": fact_plans.added(fact_plans.empty(self.spark), numbered, highest)}
+            meta: dict = {"highest_fact_id": found}
+            if self.store.get_meta("index_of") is not None:
+                rows, n, length = self._postings(new)
+                if n and length:
+                    more["postings"] = rows
+                meta["index_of"] = [x + y for x, y in zip(self.store.get_meta("index_of"), (n, length))]
+            self.store.commit({}, meta, more=more)
+            if self.model() is not None:  # weighted by all facts, these too
+                self.store.commit({}, more={"fact_vectors": encoding.encode_all(new, self.store.read("vectors"), self.config.dim, self.weights())})
+        return highest + 1, found - highest
 
     def _ids(self, *ids: int) -> DataFrame:
         return self.spark.createDataFrame([(i,) for i in ids], "fact_id bigint")
 
     def remove(self, fact_id: int) -> None:
+        fact = self.facts().where(F.col("fact_id") == fact_id)
+        length = fact.where("content IS NOT NULL").select(F.size(lexical.terms(F.col("content"))).alias("n")).head()
         tables = {"facts": fact_plans.removed(self.facts(), self._ids(fact_id))}
         cached = self.store.read("fact_vectors")
         if cached is not None:
             tables["fact_vectors"] = cached.where(F.col("id") != fact_id)
-        self.store.commit(tables)
+        kept = self.store.get_meta("index_of")
+        if kept is None or length is None:
+            self.store.commit(tables)
+        else:  # its postings stay, and are left out when they are read
+            self.store.commit(tables, {"index_of": [kept[0] - 1, kept[1] - length["n"]]}, more={"gone": self._ids(fact_id)})
 
     def set_trust(self, fact_id: int, value: float) -> None:
         changes = self.spark.createDataFrame([(fact_id, float(value))], "fact_id bigint, new_trust double")
@@ -275,16 +319,14 @@ class Engine:
 
     def ranked_lists(self, query: str) -> DataFrame:
         """(list, rank, id, similarity): list 0 by words, list 1 by vectors."""
-        docs = fact_plans.documents(self.facts())
-        by_words = lexical.search(lexical.build_index(docs), query).select(F.lit(0).alias("list"), "rank", "id", F.lit(None).cast("double").alias("similarity"))
+        by_words = lexical.search(self.index(), query).select(F.lit(0).alias("list"), "rank", "id", F.lit(None).cast("double").alias("similarity"))
         return by_words.unionByName(self._similar(query, DEPTH).select(F.lit(1).alias("list"), "rank", "id", F.col("score").alias("similarity")))
 
     def _similar(self, query: str, k: int) -> DataFrame:
         cached = self.store.read("fact_vectors") if self.model() is not None else None
         if cached is None:
             return self.spark.createDataFrame([], "id bigint, score double, rank int")
-        weights = encoding.idf(fact_plans.documents(self.facts()))
-        vector = encoding.encode_query(query, self.store.read("vectors"), weights, self.config.dim)
+        vector = encoding.encode_query(query, self.store.read("vectors"), self.weights(), self.config.dim)
         return encoding.nearest(cached, vector, k, THRESHOLD)
 
     def search(self, query: str, top_k: int = 5) -> DataFrame:

@@ -1,4 +1,5 @@
-"""Versioned tables in a folder: each commit is a new folder, and a manifest names the current one of each table.
+"""Versioned tables in a folder: each commit is a new folder, and a manifest names the current ones of each table: a whole one, and those
+that were added to it since.
 
 A commit writes its tables first and the manifest last, by renaming; a writer that dies leaves the former state. Readers see the version
 whose manifest they opened. There is one writer at a time.
@@ -8,10 +9,16 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Additions to a table that are kept apart at most.
+MOST = 24
+
+
 class Snapshots:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -32,20 +39,39 @@ class Snapshots:
         finally:
             stream.close()
 
+    def folders(self, name: str) -> list[str]:
+        """Where a table is now; other folders after each change of it."""
+        return self.manifest()["tables"].get(name, [])
+
     def read(self, name: str) -> DataFrame | None:
-        folder = self.manifest()["tables"].get(name)
-        return self.spark.read.parquet(f"{self.root}/{folder}") if folder else None
+        folders = self.folders(name)
+        return self.spark.read.parquet(*[f"{self.root}/{f}" for f in folders]) if folders else None
 
-    def commit(self, tables: dict[str, DataFrame], meta: dict | None = None, check=None) -> dict:
-        """Write ``tables``, have ``check`` look at what was written (it raises to refuse), then make them current with ``meta`` added."""
+    def commit(self, tables: dict[str, DataFrame | None], meta: dict | None = None, check=None, more: dict[str, DataFrame] | None = None) -> dict:
+        """Write ``tables``, have ``check`` look at what was written (it raises to refuse), then make them current with ``meta`` added.
+
+        ``more`` is added to its tables and nothing of them is written again; after MOST additions such a table is put together. A table that
+        is None is left out from now on."""
         now = self.manifest()
-        version, folders = now["version"] + 1, {}
+        version, after = now["version"] + 1, dict(now["tables"])
+
+        def written(name: str, df: DataFrame) -> str:
+            folder = f"{name}/v{version}-{uuid.uuid4().hex[:8]}"
+            df.write.parquet(f"{self.root}/{folder}")
+            return folder
+
         for name, df in tables.items():
-            folders[name] = f"{name}/v{version}-{uuid.uuid4().hex[:8]}"
-            df.write.parquet(f"{self.root}/{folders[name]}")
+            after.pop(name, None)
+            if df is not None:
+                after[name] = [written(name, df)]
+        for name, df in (more or {}).items():
+            before = after.get(name, [])
+            if len(before) >= MOST:
+                df, before = self.spark.read.parquet(*[f"{self.root}/{f}" for f in before]).unionByName(df), []
+            after[name] = [*before, written(name, df)]
         if check is not None:
-            check({n: self.spark.read.parquet(f"{self.root}/{f}") for n, f in folders.items()})
-        new = {"version": version, "tables": now["tables"] | folders, "meta": now["meta"] | (meta or {})}
+            check({n: self.spark.read.parquet(f"{self.root}/{after[n][0]}") for n in tables if n in after})
+        new = {"version": version, "tables": after, "meta": now["meta"] | (meta or {})}
         staged, final = self._path(f"{self.root}/.staged-{uuid.uuid4().hex}"), self._path(f"{self.root}/manifest-{version}.json")
         stream = self._fs.create(staged, False)
         try:
@@ -57,6 +83,16 @@ class Snapshots:
             raise RuntimeError(f"version {version} was committed by another writer")
         return new
 
+    @contextmanager
+    def staged(self, df: DataFrame) -> Iterator[DataFrame]:
+        """``df``, written once for a while: it is the same each time it is read."""
+        folder = f"{self.root}/.rows-{uuid.uuid4().hex}"
+        df.write.parquet(folder)
+        try:
+            yield self.spark.read.schema(df.schema).parquet(folder)
+        finally:
+            self._fs.delete(self._path(folder), True)
+
     def set_meta(self, key: str, value) -> None:
         self.commit({}, {key: value})
 
@@ -70,7 +106,7 @@ class Snapshots:
         named: set[str] = set()
         for v in versions:
             stream = self._fs.open(self._path(f"{self.root}/manifest-{v}.json"))
-            tables = set(json.loads(bytes(stream.readAllBytes()))["tables"].values())
+            tables = {f for t in json.loads(bytes(stream.readAllBytes()))["tables"].values() for f in t}
             stream.close()
             (kept if v in versions[-keep:] else named).update(tables)
             if v not in versions[-keep:]:

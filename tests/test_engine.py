@@ -5,8 +5,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from semloom.operators import encoding, ranking
-from semloom.plans import legacy, lifecycle
+from semloom.operators import encoding, lexical, ranking
+from semloom.plans import facts, legacy, lifecycle, snapshots
 from semloom.plans.engine import Config, Engine
 from semloom.plans.snapshots import Snapshots
 from semloom.sources import corpus
@@ -194,6 +194,41 @@ def test_engine_from_build_to_update(spark, tmp_path):
     assert again.store.read("vocabulary").where("word = 'severance'").head()["count"] == 2
 
 
+def test_the_stored_index_is_that_of_the_facts(spark, tmp_path):
+    engine = Engine(spark, Config(str(tmp_path / "store"), dim=16))
+    texts = ["Severe storm on the coast", "calm before the storm", "", "a cold wind", "Café by the coast", "storm storm"]
+    engine.add_all(spark.createDataFrame([(t, 0.5) for t in texts[:3]], "content string, trust double"))
+    look = lambda q: [(r["id"], round(r["score"], 9)) for r in lexical.search(engine.index(), q).orderBy("rank").collect()]
+    anew = lambda q: [(r["id"], round(r["score"], 9)) for r in lexical.search(lexical.build_index(facts.documents(engine.facts())), q).orderBy("rank").collect()]
+    assert look("storm") == anew("storm") != []
+    first = engine.store.folders("postings")
+    for t in texts[3:]:
+        engine.add(t)
+    assert engine.store.folders("postings")[:1] == first and len(engine.store.folders("postings")) == 4  # only added to
+    engine.remove(2)
+    engine.on_memory_write("replace", "the coast is calm", old_text="storm storm")
+    for q in ("storm", '"the coast"', "cafe OR co*", "calm NOT wind"):
+        assert look(q) == anew(q)
+    kept = engine.store.folders("idf")
+    engine.weights(), engine.weights()
+    once = engine.store.folders("idf")
+    assert once != kept and engine.store.folders("idf") == once
+    engine.set_trust(1, 0.9)
+    assert look("storm") == anew("storm")
+    plan = engine.index().postings.where("term = 'storm'")._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(term,storm)" in plan
+
+
+def test_a_table_is_put_together_after_many_additions(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(snapshots, "MOST", 3)
+    store = Snapshots(spark, str(tmp_path / "s"))
+    for i in range(5):
+        store.commit({}, more={"t": spark.range(i, i + 1)})
+    assert sorted(r["id"] for r in store.read("t").collect()) == [0, 1, 2, 3, 4] and len(store.folders("t")) == 2
+    store.commit({"t": None})
+    assert store.read("t") is None
+
+
 def corpus_ids(engine):
     from semloom.plans import facts
 

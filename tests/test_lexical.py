@@ -26,7 +26,7 @@ def fts():
 def index(spark):
     docs = spark.createDataFrame(list(enumerate(TEXTS, 1)), "id bigint, text string")
     found = lexical.build_index(docs)
-    return lexical.Index(found.postings.cache(), found.lengths.cache())
+    return lexical.Index(found.postings.cache(), found.totals.cache())
 
 
 @pytest.mark.parametrize("query", QUERIES)
@@ -43,3 +43,24 @@ def test_as_sqlite(fts, index, query):
 def test_sanitized(index):
     assert lexical.search(index, "storm?!").count() == 0
     assert lexical.search(index, "storm?!", sanitize=True).count() == 3
+
+
+def test_one_scan_whatever_the_query(spark, tmp_path):
+    docs = spark.createDataFrame(list(enumerate(TEXTS, 1)), "id bigint, text string")
+    built = lexical.build_index(docs)
+    built.postings.write.parquet(str(tmp_path / "p"))
+    stored = lexical.Index(spark.read.parquet(str(tmp_path / "p")), built.totals)
+    plan = lexical.scored(stored, lexical.parse('(storm OR "north wind") NOT NEAR(old coast, 3)'))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == 2  # for the rows and for their numbers: one exchange, used twice
+    got = lexical.search(stored, "storm OR kernel").count()
+    assert got == lexical.search(built, "storm OR kernel").count()
+
+
+def test_search_for_any_of_many_terms(spark, index, monkeypatch):
+    asked = spark.createDataFrame([(1, "the storm storm"), (2, "zzz"), (3, "kernel of the old")], "item int, text string")
+    key = lambda df: sorted((r["item"], r["id"], round(r["score"], 9), r["rank"]) for r in df.collect())
+    sent = key(lexical.search_any(index, asked, 5))
+    monkeypatch.setattr(lexical, "ASKED", 1)
+    assert sent and sent == key(lexical.search_any(index, asked, 5))
+    single = {r["id"]: r["score"] for r in lexical.search(index, "kernel OR of OR the OR old").collect()}
+    assert {i: s for item, i, s, _ in sent if item == 3} == pytest.approx({i: single[i] for item, i, _, _ in sent if item == 3}, abs=1e-8)
