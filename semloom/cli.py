@@ -12,6 +12,7 @@ from pyspark.sql import SparkSession
 from semloom.plans import acceptance, demo
 from semloom.plans.engine import Config, Engine
 from semloom.sources import corpus
+from semloom.streaming import updates
 
 
 def home() -> str:
@@ -50,7 +51,8 @@ def main(argv: list[str] | None = None) -> int:
         model = engine.build()
         print(f"{model.vocabulary.where('idx IS NOT NULL').count()} words from {model.sentences} sentences")
     elif args.command == "update":
-        print(f"{engine.update()} sentences")
+        taken = engine.update() if config.format == "sessions" else updates.absorb_files(engine, config.corpus)
+        print(f"{taken} sentences")
     elif args.command == "search":
         for r in engine.search(args.query).collect():
             print(f"{r['score']:+.4f}  {r['fact_id']}  {r['text'][:200]}")

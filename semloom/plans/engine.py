@@ -6,6 +6,8 @@ import json
 import logging
 import os
 import threading
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import MISSING, asdict, dataclass, fields
 from pathlib import Path
 
@@ -14,7 +16,7 @@ from pyspark.sql import functions as F
 
 from semloom.operators import encoding, lexical, ranking, training
 from semloom.plans import facts as fact_plans
-from semloom.plans import lifecycle
+from semloom.plans import legacy, lifecycle
 from semloom.plans.snapshots import Snapshots
 from semloom.sources import corpus
 
@@ -70,6 +72,8 @@ class Engine:
 
     def open(self, background: bool = True) -> lifecycle.Verdict:
         """The verdict on what is stored; heals or re-encodes what can be, and builds if needed (``background``: in a thread)."""
+        if os.path.isdir(self.config.store):
+            legacy.fold_in(self, self.config.store)
         meta = self.store.manifest()["meta"]
         highest = self._highest()
         words, vectors, width = self._shape()
@@ -97,7 +101,7 @@ class Engine:
     def _highest(self) -> int:
         if self.config.format != "sessions" or not self.config.corpus or not os.path.exists(self.config.corpus):
             return 0
-        return corpus.highest_id(corpus.read_messages(self.spark, self.config.corpus))
+        return corpus.highest_of(self.spark, self.config.corpus)
 
     def _shape(self) -> tuple[int | None, int | None, int | None]:
         vocabulary, vectors = self.store.read("vocabulary"), self.store.read("vectors")
@@ -138,7 +142,8 @@ class Engine:
         total = sentences.count()
         self.progress = (0, total) if total else None
         model = training.train(sentences, settings)
-        self._commit_model(model, highest)
+        with self._watched(total):
+            self._commit_model(model, highest)
         sentences.unpersist()
         self.progress = None
         self.verdict = lifecycle.Verdict("current", True, False)
@@ -146,6 +151,31 @@ class Engine:
             self.rebuild_cache()
         return self.model()
 
+    @contextmanager
+    def _watched(self, total: int) -> Iterator[None]:
+        """Meanwhile ``progress`` follows the share of the tasks of the running jobs' stages that are done, as so many of the sentences."""
+        over, tracker = threading.Event(), self.spark.sparkContext.statusTracker()
+
+        def watch() -> None:
+            done: dict[int, tuple[int, int]] = {}
+            while not over.wait(0.5):
+                for s in tracker.getActiveStageIds():
+                    if (info := tracker.getStageInfo(s)) is not None:
+                        done[s] = info.numCompletedTasks, info.numTasks
+                for s in set(done) - set(tracker.getActiveStageIds()):
+                    done[s] = done[s][1], done[s][1]
+                if done and total:
+                    share = sum(a for a, _ in done.values()) / max(1, sum(b for _, b in done.values()))
+                    self.progress = max((self.progress or (0, total))[0], int(share * total)), total
+
+        thread = threading.Thread(target=watch, daemon=True)
+        thread.start()
+        try:
+            yield
+        finally:
+            over.set()
+            thread.join()
+
     def _commit_model(self, model: training.Model, highest: int) -> None:
         def check(written: dict[str, DataFrame]) -> None:
             words = written["vocabulary"].where("idx IS NOT NULL").count()

@@ -106,7 +106,8 @@ def kept_messages(messages: DataFrame) -> DataFrame:
 
 
 def session_texts(messages: DataFrame, after: int | None = None, until: int | None = None) -> DataFrame:
-    """(source, doc_seq, text) of the kept messages with after < id <= until; the bounds reach the scan."""
+    """(source, doc_seq, text) of the kept messages with after < id <= until; the bounds reach a Parquet scan, and SQLite by
+    ``read_messages``."""
     if after is not None:
         messages = messages.where(F.col("id") > after)
     if until is not None:
@@ -119,6 +120,13 @@ def highest_id(messages: DataFrame) -> int:
     return messages.agg(F.coalesce(F.max("id"), F.lit(0))).collect()[0][0]
 
 
+def highest_of(spark: SparkSession, path: str) -> int:
+    """``highest_id`` of a session store; of SQLite by its index."""
+    from semloom.sources.sqlite import highest, is_sqlite
+
+    return highest(path, "messages", "id") if is_sqlite(path) else highest_id(read_messages(spark, path))
+
+
 def split_texts(texts: DataFrame, normalize: bool = True) -> DataFrame:
     """(source, doc_seq, sentence, words) of the sentences of three words or more. Texts are cut first and each sentence tokenized alone."""
     pieces = texts.select("source", "doc_seq", F.posexplode(T.split_sentences(F.col("text"))).alias("sentence", "piece"))
@@ -132,15 +140,17 @@ def read_corpus(spark: SparkSession, path: str, format: str = "plain", after: in
     if format == "chat-jsonl":
         return split_texts(chat_messages(spark, path))
     if format == "sessions":
-        return split_texts(session_texts(read_messages(spark, path), after, until))
+        return split_texts(session_texts(read_messages(spark, path, after, until, ["id", "role", "content", "active", "compacted"]), after, until))
     raise ValueError(f"no such corpus format: {format!r}")
 
 
-def read_messages(spark: SparkSession, path: str) -> DataFrame:
-    """The messages table of a session store; columns that an older store lacks have their defaults (active, not compacted)."""
+def read_messages(spark: SparkSession, path: str, after: int | None = None, until: int | None = None, columns: list[str] | None = None) -> DataFrame:
+    """The messages table of a session store; columns that an older store lacks have their defaults (active, not compacted).
+
+    Of SQLite only the rows with after < id <= until and the ``columns`` are read (others are null); of Parquet Spark finds out by itself."""
     from semloom.sources.sqlite import is_sqlite, read_sqlite
 
-    found = read_sqlite(spark, path, "messages", "id") if is_sqlite(path) else spark.read.parquet(path)
+    found = read_sqlite(spark, path, "messages", "id", after=after, until=until, columns=columns) if is_sqlite(path) else spark.read.parquet(path)
     defaults = {"session_id": "", "tool_calls": None, "active": 1, "compacted": 0}
     types = dict(c.rsplit(" ", 1) for c in MESSAGES.split(", "))
     return found.select(*[(F.col(c) if c in found.columns else F.lit(defaults[c])).cast(t).alias(c) for c, t in types.items()])

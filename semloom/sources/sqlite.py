@@ -28,7 +28,8 @@ def _name(x: str) -> str:
 
 
 class SqliteSource(DataSource):
-    """Options: path, table, key (an integer column), partitions."""
+    """Options: path, table, key (an integer column), partitions; after and until: only keys above and up to these are read; columns: only
+    these, by name, with commas between them."""
 
     @classmethod
     def name(cls) -> str:
@@ -42,6 +43,8 @@ class SqliteSource(DataSource):
             db.close()
         if not columns:
             raise ValueError(f"{self.options['path']} has no table {self.options['table']}")
+        if "columns" in self.options:
+            columns = [c for c in columns if c[1] in self.options["columns"].split(",")]
         return ", ".join(f"`{c[1]}` {_KINDS.get(c[2].upper(), 'string')}" for c in columns)
 
     def reader(self, schema) -> DataSourceReader:
@@ -66,6 +69,9 @@ class SqliteReader(DataSourceReader):
             db.close()
         if low is None:
             return [Range(0, 0)]
+        low, high = max(low, int(self.options.get("after", low - 1)) + 1), min(high, int(self.options.get("until", high)))
+        if low > high:
+            return [Range(0, 0)]
         n = min(int(self.options.get("partitions", 8)), high - low + 1)
         cuts = [low + (high - low + 1) * i // n for i in range(n + 1)]
         return [Range(a, b) for a, b in zip(cuts[:-1], cuts[1:])]
@@ -79,6 +85,17 @@ class SqliteReader(DataSourceReader):
             db.close()
 
 
-def read_sqlite(spark: SparkSession, path: str, table: str, key: str, partitions: int = 8) -> DataFrame:
+def read_sqlite(spark: SparkSession, path: str, table: str, key: str, partitions: int = 8, after: int | None = None, until: int | None = None, columns: list[str] | None = None) -> DataFrame:
+    """The rows of a table with after < key <= until, by its index, and of them only ``columns`` (those of them that it has)."""
     spark.dataSource.register(SqliteSource)
-    return spark.read.format("semloom_sqlite").options(path=os.path.abspath(path), table=table, key=key, partitions=partitions).load()
+    bounds = {k: v for k, v in (("after", after), ("until", until), ("columns", columns and ",".join(columns))) if v is not None}
+    return spark.read.format("semloom_sqlite").options(path=os.path.abspath(path), table=table, key=key, partitions=partitions, **bounds).load()
+
+
+def highest(path: str, table: str, key: str) -> int:
+    """The largest key, by one step in its index; 0 for an empty table."""
+    db = _open(path)
+    try:
+        return db.execute(f"SELECT MAX({_name(key)}) FROM {_name(table)}").fetchone()[0] or 0
+    finally:
+        db.close()

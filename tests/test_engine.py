@@ -9,7 +9,7 @@ from semloom.operators import encoding, lexical, ranking
 from semloom.plans import facts, legacy, lifecycle, snapshots
 from semloom.plans.engine import Config, Engine
 from semloom.plans.snapshots import Snapshots
-from semloom.sources import corpus
+from semloom.sources import corpus, sqlite
 from semloom.streaming import updates
 
 
@@ -194,6 +194,39 @@ def test_engine_from_build_to_update(spark, tmp_path):
     assert again.store.read("vocabulary").where("word = 'severance'").head()["count"] == 2
 
 
+def test_reads_of_sqlite_are_bounded(spark, tmp_path):
+    path = session_db(tmp_path / "s.db", [("user", f"message number {i} of some", 1, 0) for i in range(500)])
+    few = sqlite.read_sqlite(spark, path, "messages", "id", after=490, columns=["id", "content", "other"])
+    assert few.columns == ["content", "id"] or few.columns == ["id", "content"]
+    assert sorted(r["id"] for r in few.collect()) == list(range(491, 501))
+    reader = sqlite.SqliteReader({"path": path, "table": "messages", "key": "id", "after": "490", "until": "495"}, ["id"])
+    assert sum(p.high - p.low for p in reader.partitions()) == 5 and sum(1 for p in reader.partitions() for _ in reader.read(p)) == 5
+    assert corpus.read_corpus(spark, path, "sessions", after=495).count() == 5 and corpus.read_corpus(spark, path, "sessions", after=900).count() == 0
+    assert corpus.highest_of(spark, path) == 500
+
+
+def test_an_earlier_store_is_folded_in(spark, tmp_path):
+    store = tmp_path / "store"
+    store.mkdir()
+    words, matrix = ["harbour", "tide"], np.eye(2, 16, dtype=np.float32)
+    (store / legacy.VOCABULARY).write_text(json.dumps({"vocab": words, "counts": {"harbour": 4, "tide": 2}, "dim": 16, "window": 2, "consumed_sentences": 9}))
+    (store / legacy.UPDATED).write_text(json.dumps({"last_seen_id": 77}))
+    (store / legacy.FACTS).write_text(json.dumps([1, 2]))
+    np.save(store / legacy.MATRIX, matrix)
+    np.save(store / legacy.ENCODED, matrix)
+    engine = Engine(spark, Config(str(store), dim=16, window=2))
+    assert engine.open(background=False).state == "current" and engine.store.get_meta("last_seen_id") == 77
+    assert engine.store.read("fact_vectors").count() == 2 and not (store / legacy.VOCABULARY).exists() and (store / legacy.MATRIX).exists()
+    assert not legacy.fold_in(engine, str(store))
+
+
+def test_progress_moves(spark, tmp_path):
+    engine = Engine(spark, Config(str(tmp_path / "s"), dim=16))
+    with engine._watched(100):
+        spark.range(40).repartition(40).foreach(lambda _: __import__("time").sleep(0.1))
+    assert engine.progress is not None and 0 < engine.progress[0] <= 100 and engine.progress[1] == 100
+
+
 def test_the_stored_index_is_that_of_the_facts(spark, tmp_path):
     engine = Engine(spark, Config(str(tmp_path / "store"), dim=16))
     texts = ["Severe storm on the coast", "calm before the storm", "", "a cold wind", "Café by the coast", "storm storm"]
