@@ -11,7 +11,9 @@ all sums that the text has by then, rounded again. So what a unit (see ``unigram
 from __future__ import annotations
 
 import struct
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -24,8 +26,11 @@ from .storage import bounded
 from .unigram import MODEL, load, units
 
 #: Units, and results for a unit after some sum, that a worker keeps; when there are more it starts anew, which only costs time.
-CACHE = 400_000
+CACHE = 250_000
 LIMIT = 100_000
+#: Units solved at once, and how long they may be; longer ones are solved one by one.
+AT_ONCE, LONGEST = 8192, 40
+_BETWEEN = "\ue000"  # for private use
 SCHEMA = "doc_id bigint, n_tokens bigint, score double"
 _single = struct.Struct("f")
 
@@ -38,8 +43,8 @@ class Encoder:
     """What one unit does to a text's sum: ``solve`` gives (tokens, score, sum after it) from the sum before it, which is within LIMIT.
 
     With whole-number scores, of which the lowest (``low``) is the only one that single precision rounds in sums with the others, a unit that
-    begins with a piece of that score depends only on how the sum before it is rounded away; ``like`` has one sum for each such case, by
-    the sum's last 7 bits. Otherwise ``like`` is None."""
+    begins with a piece of that score depends only on what the sum before it is rounded by. ``lost`` has that, -32 to 32, by the sum's
+    last 7 bits; otherwise it is None. Then ``solve_many`` finds what most units do, whatever the sum before them, all at once."""
 
     def __init__(self, path: str):
         vocabulary = load(path)
@@ -51,16 +56,22 @@ class Encoder:
         self.low, self.unknown = number(self.low), number(self.unknown)
         self.pieces = {p: number(_float32(s)) for p, (_, s) in vocabulary.pieces.items()}
         self.exact = whole
+        if any(_BETWEEN in piece for piece in self.pieces):
+            raise ValueError(f"{path}: a piece has the character {ascii(_BETWEEN)}")
         self.automaton = ahocorasick.Automaton()
-        for piece, score in self.pieces.items():
-            self.automaton.add_word(piece, (len(piece), score))
+        self.matched = [(len(piece), score) for piece, score in self.pieces.items()]
+        for i, piece in enumerate(self.pieces):
+            self.automaton.add_word(piece, i)
         self.automaton.make_automaton()
         ulp = [np.spacing(np.float32(abs(self.low) + x)) for x in (-2 * LIMIT, 2 * LIMIT)]
         rest = [s for s in scores if s != self.low]
-        self.like = None
-        if whole and ulp[0] == ulp[1] == 64 and self.low % 64 == 0 and self.unknown == self.low and min(rest, default=0) > -LIMIT and max(scores) <= 0:
-            first: dict[int, int] = {}
-            self.like = [first.setdefault(self._round(b + self.low) - b, b) for b in range(-128, 0)]
+        self.lost = None
+        if whole and ulp[0] == ulp[1] == 64 and self.low % 128 == 0 and self.unknown == self.low and min(rest, default=0) > -LIMIT and max(scores) <= 0:
+            self.lost = [self._round(b + self.low) - b - self.low for b in range(128)]
+            self.size, self.score = (np.array([m[k] for m in self.matched], np.int32) for k in (0, 1))
+            by = np.arange(-32, 33)
+            #: By a score's last 7 bits, whether it is rounded to another number if 1 more was lost.
+            self.turns = np.diff(np.rint((np.arange(128)[:, None] - by) / 64), axis=1) != 0
 
     def _round(self, x):
         if self.exact:
@@ -71,11 +82,11 @@ class Encoder:
         """(tokens, score, sum after it, least sum at any character)."""
         n, least, round_ = len(unit), before, self._round
         ends: list = [()] * n
-        for end, match in self.automaton.iter(unit):  # of an end the longest first
+        for end, i in self.automaton.iter(unit):  # of an end the longest first
             if ends[end]:
-                ends[end].append(match)
+                ends[end].append(self.matched[i])
             else:
-                ends[end] = [match]
+                ends[end] = [self.matched[i]]
         sums, count, score, taken, seen = [before], [0], [0], [], [0]  # taken: what was subtracted; seen: how much of it by a place
         for q in range(1, n + 1):
             best, length = None, 0
@@ -107,6 +118,92 @@ class Encoder:
         return count[n], score[n], sums[n], least
 
 
+    def solve_many(self, found: list[str]) -> list:
+        """Of each unit: (tokens, score, change of the sum, least sum), if it adds up exactly from 0; (bounds, results) if it begins with a
+        mark of the lowest score: results by what is lost of the sum before it, as ``solve`` has them; None if neither can be said.
+
+        A mark takes the sum away twice: after it and after the first piece that is longer. What is left of the sum before it is how the
+        first piece's score was rounded, with what was lost, to a multiple of 64. From there on sums are exact."""
+        out: list = [None] * len(found)
+        size = np.array([len(x) for x in found])
+        start = np.cumsum(size + 1) - size - 1
+        flat = np.fromiter(chain.from_iterable(self.automaton.iter(_BETWEEN.join(found) + _BETWEEN)), np.int64).reshape(-1, 2)
+        length, score = self.size[flat[:, 1]], self.score[flat[:, 1]]
+        unit = np.searchsorted(start, flat[:, 0], "right") - 1
+        begin = (flat[:, 0] - start[unit] - length + 1).astype(np.int32)
+        n = len(found)
+        singles = np.bincount(unit[length == 1], minlength=n)
+        lowest = np.bincount(unit[(score == self.low) & ((begin > 0) | (length > 1))], minlength=n)
+        head = np.zeros(n, bool)
+        head[unit[(begin == 0) & (length == 1) & (score == self.low)]] = True
+        second = np.zeros(n, bool)
+        second[unit[(begin == 0) & (length == 2)]] = True
+        known = (singles == size) & (lowest == 0) & (size <= LONGEST)
+        for marked in (False, True):
+            chosen = np.flatnonzero(known & (head == marked) & (second | ~head))
+            if not len(chosen):
+                continue
+            number = np.full(n, -1)
+            number[chosen] = np.arange(len(chosen))
+            mine = np.flatnonzero(number[unit] >= 0)
+            u, p, e, s = number[unit[mine]], begin[mine], begin[mine] + length[mine], score[mine]
+            if marked:
+                first = (p == 0) & (e > 1)
+                order = np.argsort(u[first], kind="stable")
+                fu, fe, fs = u[first][order], e[first][order], s[first][order]
+                border = np.flatnonzero(np.r_[True, fu[1:] != fu[:-1]])
+                turns = np.logical_or.reduceat(self.turns[fs & 127], border)
+                cases = turns.sum(1) + 1
+                base = np.cumsum(cases) - cases
+                at, where = np.nonzero(turns)  # where + 1 more lost than 32 less is another case
+                lost = np.full(int(cases.sum()), -32)
+                lost[base[at] + 1 + np.arange(len(at)) - (np.cumsum(cases - 1) - (cases - 1))[at]] = where - 31
+            else:
+                cases, base, lost = np.ones(len(chosen), np.int64), np.arange(len(chosen)), np.zeros(len(chosen), np.int64)
+            width = int(size[chosen].max()) + 1
+            value, count, total = np.full((len(lost), width), -(1 << 30), np.int32), np.zeros((len(lost), width), np.int32), np.zeros((len(lost), width), np.int32)
+            if marked:
+                owner = np.repeat(np.arange(len(fu)), cases[fu])  # a row for each first piece and case
+                row = base[fu[owner]] + np.arange(len(owner)) - np.repeat(np.cumsum(cases[fu]) - cases[fu], cases[fu])
+                rounded = (64 * np.rint((fs[owner] - lost[row]) / 64)).astype(np.int32)
+                shortest = np.zeros(len(lost), np.int32)
+                two = fe[owner] == 2
+                shortest[row[two]] = rounded[two]
+                value[row, fe[owner]], count[row, fe[owner]], total[row, fe[owner]] = rounded - shortest[row], 1, fs[owner]
+            else:
+                value[:, 0] = 0
+            least = np.zeros(len(lost), np.int32)
+            inner = p >= 2 if marked else p >= 0
+            u, p, e, s = u[inner], p[inner], e[inner], s[inner]
+            key = e.astype(np.int64) * (LONGEST + 1) + p  # of an end the longest first
+            order = np.argsort(key, kind="stable")
+            u, p, e, s = u[order], p[order], e[order], s[order]
+            group = np.flatnonzero(np.r_[True, np.diff(key[order]) != 0]) if len(key) else np.zeros(0, np.int64)
+            for i, j in zip(group, np.r_[group[1:], len(key)]):
+                each = cases[u[i:j]]
+                row = np.repeat(base[u[i:j]] - (np.cumsum(each) - each), each) + np.arange(int(each.sum())) if marked else u[i:j]
+                more = np.repeat(s[i:j], each) if marked else s[i:j]
+                now = value[row, p[i]] + more
+                better = now > value[row, e[i]]
+                row = row[better]
+                value[row, e[i]], count[row, e[i]], total[row, e[i]] = now[better], count[row, p[i]] + 1, total[row, p[i]] + more[better]
+            for q in range(2 if marked else 1, width):
+                rows = np.repeat(size[chosen] >= q, cases)
+                least[rows] = np.minimum(least[rows], value[rows, q])
+            end = np.repeat(size[chosen], cases)
+            row = np.arange(len(lost))
+            tokens, scores, sums = (x[row, end].tolist() for x in (count, total, value))
+            least_, lost_ = least.tolist(), lost.tolist()
+            for c, b, k in zip(chosen.tolist(), base.tolist(), cases.tolist()):
+                if min(least_[b : b + k]) < -LIMIT:  # part of the sum is taken away inside
+                    continue
+                if marked:
+                    out[c] = tuple(lost_[b + 1 : b + k]), tuple(zip(tokens[b : b + k], scores[b : b + k], sums[b : b + k]))
+                else:
+                    out[c] = tokens[b], scores[b], sums[b], least_[b]
+        return out
+
+
 _encoders: dict[str, Encoder] = {}
 
 
@@ -124,7 +221,7 @@ class Counter:
         self.path, self.encoder = path, encoder(path)
         self.key, self.number = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # hashes of the known units in order, and their numbers
         self.text: list[str] = []
-        self.light: list = []  # (tokens, score, change of the sum, least sum) from 0, of units that add up exactly wherever they stand
+        self.known: list = []  # of ``solve_many``
         self.memo: dict = {}
 
     def _numbers(self, found) -> np.ndarray:
@@ -139,16 +236,10 @@ class Counter:
             end = np.cumsum(found.size)
             every = found.points.tobytes().decode("utf-32-le", "surrogatepass")
             out[fresh] = np.arange(len(self.text), len(self.text) + len(fresh))
-            e = self.encoder
-            for i in fresh:
-                unit = every[end[i] - found.size[i] : end[i]]
-                light = None
-                if e.like is not None and e.pieces.get(unit[0]) != e.low and e.pieces.get(unit[0]) is not None:
-                    light = e.solve(unit, 0)
-                    if light[3] < -LIMIT:  # it takes part of the sum away, or has pieces of the lowest score
-                        light = None
-                self.text.append(unit)
-                self.light.append(light)
+            units_ = [every[b - n : b] for b, n in zip(end[fresh].tolist(), found.size[fresh].tolist())]
+            self.text += units_
+            for i in range(0, len(units_), AT_ONCE):
+                self.known += self.encoder.solve_many(units_[i : i + AT_ONCE]) if self.encoder.lost is not None else [None] * len(units_[i : i + AT_ONCE])
             self.key, self.number = np.insert(self.key, at[fresh], found.key[fresh]), np.insert(self.number, at[fresh], out[fresh])
         return out
 
@@ -160,31 +251,30 @@ class Counter:
         which = self._numbers(found)[found.which].tolist()
         border = np.searchsorted(found.text, np.arange(len(texts) + 1)).tolist()
         tokens, scores = np.zeros(len(texts), np.int64), np.zeros(len(texts))
-        e, light, memo, text = self.encoder, self.light, self.memo, self.text
-        like, low = e.like, e.low
-        head = e.pieces.get
+        e, known, memo, text, lost = self.encoder, self.known, self.memo, self.text, self.encoder.lost
         for t in range(len(texts)):
             n, total, sum_ = 0, 0, 0
             for u in which[border[t] : border[t + 1]]:
-                x = light[u]
-                if x is not None and sum_ + x[3] >= -LIMIT:
-                    n += x[0]
-                    total += x[1]
-                    sum_ += x[2]
-                    continue
-                if like is None:
-                    key, before = (u, sum_), sum_
-                elif x is None and head(text[u][0], low) == low:
-                    before = like[sum_ & 127]
-                    key = u << 7 | before & 127
-                else:
-                    key, before = (u, sum_), sum_
-                found_ = memo.get(key)
-                if found_ is None:
-                    found_ = memo[key] = e.solve(text[u], before)
-                n += found_[0]
-                total += found_[1]
-                sum_ = found_[2]
+                x = known[u]
+                if x is not None:
+                    if len(x) == 2:
+                        x = x[1][bisect_right(x[0], lost[sum_ & 127])]
+                        n += x[0]
+                        total += x[1]
+                        sum_ = x[2]
+                        continue
+                    if sum_ + x[3] >= -LIMIT:
+                        n += x[0]
+                        total += x[1]
+                        sum_ += x[2]
+                        continue
+                key = u, sum_
+                x = memo.get(key)
+                if x is None:
+                    x = memo[key] = e.solve(text[u], sum_)
+                n += x[0]
+                total += x[1]
+                sum_ = x[2]
             tokens[t], scores[t] = n, total
         return tokens, scores
 

@@ -88,7 +88,7 @@ def test_other_scores_equal_the_library(tmp_path):
         piece.score = max(piece.score / 2953.7, -9.5)
 
     sp = as_unigram(tmp_path / "fractions.model", fraction)
-    assert token_count.encoder(str(tmp_path / "fractions.model")).like is None
+    assert token_count.encoder(str(tmp_path / "fractions.model")).lost is None
     texts = pq.read_table(f"{SF}/documents.parquet")["text"].to_pylist()[:200] if os.path.exists(SF) else some_texts()
     tokens, _ = token_count.Counter(str(tmp_path / "fractions.model")).add(texts)
     assert list(tokens) == [len(x) for x in sp.encode(texts)]
