@@ -180,6 +180,29 @@ def _mixed(column: pa.Array, labels: np.ndarray, rng: np.random.Generator) -> tu
     return pa.array(out, pa.large_string()), tags
 
 
+def gradient(model: Model, w: Words, y: np.ndarray) -> list[np.ndarray]:
+    """Of the log-likelihood of the words' labels ``y``: by grams, affixes, lexicon and transitions, observed less expected counts."""
+    k = len(model.labels)
+    word_of = [np.repeat(np.arange(len(y)), np.diff(v.reshape(-1, 2), axis=1).ravel()) for v in w.bounds]
+    gram_of = [g[np.concatenate([np.arange(a, z) for a, z in v.reshape(-1, 2)])] for g, v in zip(w.grams, w.bounds)]
+    inner = np.flatnonzero(w.text[1:] == w.text[:-1])
+    scores = emissions(model, w)
+    forward, backward = forward_backward(scores, w.text, model.transition)
+    p = forward * backward
+    p /= p.sum(1, keepdims=True)
+    d = np.eye(k)[y] - p
+    after = np.exp(scores - scores.max(1, keepdims=True)) * backward
+    pair = forward[inner][:, :, None] * np.exp(model.transition) * after[inner + 1][:, None, :]
+    out = [np.zeros(t.shape) for t in (model.grams, model.affixes, model.entries)]
+    for c in range(k):
+        for o in (0, 1):
+            out[0][o, c] = np.bincount(gram_of[o], d[word_of[o], c], 1 << GRAM_BITS)
+            out[1][o, c] = np.bincount(w.affixes[o], d[:, c], 1 << AFFIX_BITS)
+        out[2][c] = np.bincount(w.entry, d[:, c], model.entries.shape[1])
+    observed = np.bincount(y[inner] * k + y[inner + 1], minlength=k * k).reshape(k, k)
+    return [*out, observed - (pair / pair.sum((1, 2), keepdims=True)).sum(0)]
+
+
 def fit_texts(column: pa.Array, langs: list[str], seed: int = 7) -> Model | None:
     """Maximum likelihood on code-switched sequences made of texts of known language, by AdaGrad over full gradients."""
     labels = sorted(set(langs))
@@ -199,27 +222,8 @@ def fit_texts(column: pa.Array, langs: list[str], seed: int = 7) -> Model | None
     model = Model(labels, np.zeros((2, k, 1 << GRAM_BITS), np.float32), np.zeros((2, k, 1 << AFFIX_BITS), np.float32), lexicon, np.zeros((k, len(lexicon) + 1), np.float32), np.zeros((k, k)))
     tables = [model.grams, model.affixes, model.entries, model.transition]
     squares = [np.full(t.shape, 1e-2) for t in tables]
-    word_of = [np.repeat(np.arange(len(y)), np.diff(v.reshape(-1, 2), axis=1).ravel()) for v in w.bounds]
-    gram_of = [g[np.concatenate([np.arange(a, z) for a, z in v.reshape(-1, 2)])] for g, v in zip(w.grams, w.bounds)]
-    inner = np.flatnonzero(w.text[1:] == w.text[:-1])
-    observed = np.bincount(y[inner] * k + y[inner + 1], minlength=k * k).reshape(k, k)
     for _ in range(EPOCHS):
-        scores = emissions(model, w)
-        forward, backward = forward_backward(scores, w.text, model.transition)
-        p = forward * backward
-        p /= p.sum(1, keepdims=True)
-        d = np.eye(k)[y] - p
-        after = np.exp(scores - scores.max(1, keepdims=True)) * backward
-        pair = forward[inner][:, :, None] * np.exp(model.transition) * after[inner + 1][:, None, :]
-        expected = (pair / pair.sum((1, 2), keepdims=True)).sum(0)
-        gradient = [np.zeros(t.shape) for t in tables]
-        for c in range(k):
-            for o in (0, 1):
-                gradient[0][o, c] = np.bincount(gram_of[o], d[word_of[o], c], 1 << GRAM_BITS)
-                gradient[1][o, c] = np.bincount(w.affixes[o], d[:, c], 1 << AFFIX_BITS)
-            gradient[2][c] = np.bincount(w.entry, d[:, c], len(lexicon) + 1)
-        gradient[3] = observed - expected
-        for t, g, q in zip(tables, gradient, squares):
+        for t, g, q in zip(tables, gradient(model, w, y), squares):
             g -= L2 * len(y) * t
             q += g**2
             t += (RATE * g / np.sqrt(q)).astype(t.dtype)

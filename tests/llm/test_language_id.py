@@ -1,3 +1,4 @@
+import itertools
 import os
 
 import numpy as np
@@ -35,6 +36,67 @@ def test_forward_backward_equals_the_chain(chunk, monkeypatch):
     assert len(li.marginals(np.zeros((0, k)), np.zeros(0, int), transition)) == 0
 
 
+def by_hand(model, word):
+    """A word's scores by language, window by window."""
+    x = [32, *word, 32]
+    hashed = lambda v, m, bits: (v * m & 0xFFFFFFFF) >> (32 - bits)
+    at = [32, *word, 32, 32, 32]
+    affix = [hashed(int.from_bytes(bytes(part), "big"), 0x85EBCA77, li.AFFIX_BITS) if len(word) >= li.AFFIX else 0 for part in (at[1:4], at[len(word) - 2 : len(word) + 1])]
+    h = bt.span_hashes(np.frombuffer(word, np.uint8), np.array([0]), np.array([len(word)]))[0]
+    entry = list(model.lexicon).index(h) if h in model.lexicon else len(model.lexicon)
+    out = []
+    for c in range(len(model.labels)):
+        v = float(model.entries[c][entry]) + sum(float(model.affixes[o, c][affix[o]]) for o in (0, 1))
+        v += sum(float(model.grams[0, c][(a << 8) | b]) for a, b in zip(x, x[1:]))
+        v += sum(float(model.grams[1, c][hashed((a << 16) | (b << 8) | d, 0x9E3779B1, li.GRAM_BITS)]) for a, b, d in zip(x, x[1:], x[2:]))
+        out.append(v)
+    return out
+
+
+def small_model(words, k=3):
+    rng = np.random.default_rng(1)
+    lexicon = np.unique(bt.hash_words(words))
+    tables = [rng.normal(size=s).astype(np.float32) for s in ((2, k, 1 << li.GRAM_BITS), (2, k, 1 << li.AFFIX_BITS), (k, len(lexicon) + 1))]
+    return li.Model(list("abc")[:k], tables[0], tables[1], lexicon, tables[2], rng.normal(size=(k, k)))
+
+
+def test_emissions_equal_the_windows_one_by_one():
+    model = small_model(["the", "été"])
+    texts = ["The été a ", "x1 of, THE\n ", "", "日本 ab "]
+    b, off = bt.buffers(pa.array(texts, pa.large_string()))
+    w = li.features(b, off, model.lexicon)
+    words = [x for t in texts for x in t.lower().replace(",", " ").encode().split()]
+    assert np.allclose(li.emissions(model, w), [by_hand(model, x) for x in words], atol=1e-4) and w.text.tolist() == [0, 0, 0, 1, 1, 1, 3, 3]
+
+
+def test_gradient_is_that_of_the_likelihood():
+    """Against differences of the log-likelihood, whose partition sums go over all labellings."""
+    model = small_model(["one", "two"], 2)
+    texts = ["one two ab ", "two cd one x "]
+    b, off = bt.buffers(pa.array(texts, pa.large_string()))
+    w, y = li.features(b, off, model.lexicon), np.array([0, 1, 1, 0, 0, 1, 0])
+
+    def likelihood():
+        s, out = li.emissions(model, w), 0.0
+        for t in (0, 1):
+            e, own = s[w.text == t], tuple(y[w.text == t])
+            score = {z: sum(e[i, c] for i, c in enumerate(z)) + sum(model.transition[a, d] for a, d in zip(z, z[1:])) for z in itertools.product(range(2), repeat=len(e))}
+            out += score[own] - np.log(sum(np.exp(v) for v in score.values()))
+        return out
+
+    found = li.gradient(model, w, y)
+    for table, g in zip((model.grams, model.affixes, model.entries, model.transition), found):
+        used = np.argwhere(g != 0)
+        for i in map(tuple, used[:: max(1, len(used) // 6)]):
+            before, step = table[i], 0.05
+            table[i] = before + step
+            up = likelihood()
+            table[i] = before - step
+            down = likelihood()
+            table[i] = before
+            assert (up - down) / (2 * step) == pytest.approx(g[i], abs=5e-3)
+
+
 @pytest.fixture(scope="module")
 def corpus():
     docs = pq.read_table(f"{SF}/documents.parquet")
