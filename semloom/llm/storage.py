@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import gc
+import shutil
 import tempfile
 import time
 
@@ -35,7 +37,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named and not sc.master.startswith("local"):
         raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-    sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="semloom-checkpoint-"))
+    if not named:  # of a local session; it goes when the process ends
+        named = tempfile.mkdtemp(prefix="semloom-checkpoint-")
+        atexit.register(shutil.rmtree, named, ignore_errors=True)
+    sc.setCheckpointDir(named)
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -56,6 +61,12 @@ def cut_by(df: DataFrame, partitions: int, column: str) -> DataFrame:
         conf.set("spark.sql.adaptive.enabled", adaptive)
 
 
+def remove(spark: SparkSession, folder: str) -> None:
+    """Remove a folder of the shared file system."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def forget(spark: SparkSession) -> None:
     """Have the driver notice what it no longer refers to: shuffle files stay until then."""
     for _ in range(2):  # what the first round frees may hold on to more
