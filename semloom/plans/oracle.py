@@ -51,7 +51,7 @@ lists AS (
     SELECT source, 0 AS list, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) - 1 AS rank, doc_id AS id FROM rows
     UNION ALL SELECT source, 1, row_number() OVER (PARTITION BY source ORDER BY blanks DESC, doc_id) - 1, doc_id FROM rows),
 fused AS (
-    SELECT source, id, sum(1.0 / (rank + 61)) AS score, min(list * 100 + rank) AS came FROM lists WHERE rank < 10 GROUP BY source, id),
+    SELECT source, id, sum(1.0 / (rank + 61)) AS score, min(list * 100 + rank) AS came FROM lists WHERE rank < 20 GROUP BY source, id),
 trust AS (SELECT d.doc_id AS id, d.text, coalesce(0.5 + 0.05 * quality - 0.10 * toxic, 0.5) AS trust FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)"""
 
 _KINDS = {"fts_and": ["the", "with"], "fts_or": ["idiot", "clown"], "fts_not": ["that", "with"]}
@@ -76,11 +76,11 @@ def oracle_sql() -> dict[str, str]:
         "cooccurrences": f"""WITH {_SENTENCES} SELECT a.word, b.word AS neighbour, count(*) AS n FROM live a JOIN live b
             ON a.id = b.id AND a.sentence = b.sentence AND a.place <> b.place AND abs(a.place - b.place) <= 3 GROUP BY a.word, b.word""",
         "identity_numbers": f"""WITH {_SENTENCES}, words AS (SELECT DISTINCT word FROM tokens), blocks AS (
-            SELECT word, sha256(word || ':0') || sha256(word || ':1') AS h FROM words), cells AS (SELECT word, h, unnest(range(24)) AS i FROM blocks)
-            SELECT word, CAST(i AS INTEGER) AS i, CAST(('0x' || substr(h, CAST(i * 4 + 3 AS INTEGER), 2) || substr(h, CAST(i * 4 + 1 AS INTEGER), 2)) AS INTEGER) AS number FROM cells""",
+            SELECT word, array_to_string(list_transform(range(128), lambda b: sha256(word || ':' || b)), '') AS h FROM words)
+            SELECT word, md5(array_to_string(list_transform(range(2048), lambda i: CAST(('0x' || substr(h, CAST(i * 4 + 3 AS INTEGER), 2) || substr(h, CAST(i * 4 + 1 AS INTEGER), 2)) AS INTEGER)), ' ')) AS numbers FROM blocks""",
         "idf": f"""WITH seen AS (SELECT unnest(list_distinct({_tokens('text')})) AS word FROM documents)
             SELECT word, count(*) AS df, round(ln((SELECT count(*) FROM documents) / count(*)), 6) AS idf FROM seen GROUP BY word""",
-        "postings": f"WITH {_TERMS} SELECT term, id, count(*) AS tf, CAST(min(position) AS INTEGER) AS first FROM places GROUP BY term, id",
+        "postings": f"WITH {_TERMS} SELECT term, id, count(*) AS tf, string_agg(CAST(position AS VARCHAR), ' ' ORDER BY position) AS positions, CAST(any_value(length) AS INTEGER) AS length FROM places JOIN lengths USING (id) GROUP BY term, id",
         "fts_and": _bm25(both["fts_and"], "SELECT id FROM p0 INTERSECT SELECT id FROM p1"),
         "fts_or": _bm25(both["fts_or"], "SELECT id FROM p0 UNION SELECT id FROM p1"),
         "fts_not": _bm25(both["fts_not"], "SELECT id FROM p0 EXCEPT SELECT id FROM p1"),

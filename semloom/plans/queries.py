@@ -94,8 +94,9 @@ def cooccurrences(spark, d):
 
 
 def identity_numbers(spark, d):
+    """Of each word the digest of all 2048 numbers of its identity vector, written with blanks between them."""
     words = training.occurrences(sentences(spark, d)).select("word").distinct()
-    return words.select("word", F.posexplode(V.identity_numbers_of(F.col("word"), 24)).alias("i", "number"))
+    return words.select("word", F.md5(F.array_join(V.identity_numbers_of(F.col("word"), 2048), " ")).alias("numbers"))
 
 
 def idf(spark, d):
@@ -107,7 +108,7 @@ def _index(spark, d):
 
 
 def postings(spark, d):
-    return _index(spark, d).postings.select("term", "id", "tf", F.col("positions")[0].alias("first"))
+    return _index(spark, d).postings.select("term", "id", "tf", F.array_join("positions", " ").alias("positions"), "length")
 
 
 def _scored(query: str):
@@ -157,12 +158,12 @@ def label_cosines(spark, d):
 
 
 def _two_lists(spark, d):
-    """Two rankings of each source's documents, ten each: by length, and by words' number."""
+    """Two rankings of each source's documents, twenty each, as deep as a search looks: by length, and by words' number."""
     rows = _table(spark, d, "documents").select("doc_id", "source", "n_chars", F.size(F.split("text", " ", -1)).alias("blanks"))
     out = []
     for k, by in enumerate(("n_chars", "blanks")):
         place = F.row_number().over(Window.partitionBy("source").orderBy(F.desc(by), "doc_id"))
-        out.append(rows.select("source", F.lit(k).alias("list"), (place - 1).alias("rank"), F.col("doc_id").alias("id")).where("rank < 10"))
+        out.append(rows.select("source", F.lit(k).alias("list"), (place - 1).alias("rank"), F.col("doc_id").alias("id")).where("rank < 20"))
     return out[0].unionByName(out[1])
 
 
@@ -189,7 +190,7 @@ def trusted_lines(spark, d):
 
 
 def feedback(spark, d):
-    """Clicks as helpful and errors as unhelpful feedback on the document of the user's number, in order of time."""
+    """Labels as feedback on their documents: first on quality (good: helpful), then on toxicity (toxic: unhelpful)."""
     given = _table(spark, d, "labels").select(F.col("doc_id").alias("fact_id"), F.explode(F.array(F.struct(F.lit(1).alias("at"), F.when(F.col("quality") == 1, "helpful").otherwise("unhelpful").alias("feedback")), F.struct(F.lit(2).alias("at"), F.when(F.col("toxic") == 1, "unhelpful").otherwise("helpful").alias("feedback")))).alias("s")).select("fact_id", "s.*")
     table = facts(spark, d).withColumn("created_at", F.lit(None).cast("timestamp")).withColumn("updated_at", F.lit(None).cast("timestamp"))
     return fact_plans.with_feedback(table, given).select("fact_id", F.round("trust", 4).alias("trust"))
