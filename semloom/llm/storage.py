@@ -67,12 +67,21 @@ def remove(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def forget(spark: SparkSession) -> None:
-    """Have the driver notice what it no longer refers to: shuffle files stay until then."""
-    for _ in range(2):  # what the first round frees may hold on to more
+def shuffles(spark: SparkSession) -> int:
+    """How many shuffles the driver knows of; their files are on the executors' disks."""
+    return spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker().shuffleStatuses().size()
+
+
+def forget(spark: SparkSession, known: int = 0, seconds: float = 10) -> None:
+    """Have the driver notice which shuffles it no longer refers to: their files stay until then. It cleans up after its garbage collection in
+    its own time, so this waits until it knows of ``known`` shuffles at most, or for some seconds if others are in use."""
+    end = time.time() + seconds
+    while True:
         gc.collect()
         spark.sparkContext._jvm.System.gc()
-        time.sleep(0.3)
+        time.sleep(0.3)  # what is freed may hold on to more
+        if shuffles(spark) <= known or time.time() > end:
+            return
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
