@@ -35,13 +35,12 @@ def identity(word: str, dim: int):
 def identity_numbers_of(word: Column, dim: int) -> Column:
     """``identity_numbers`` as an expression: array<int>."""
     blocks = F.transform(F.sequence(F.lit(0), F.lit(-(-dim // 16) - 1)), lambda i: F.sha2(F.concat(word, F.lit(":"), i.cast("string")).cast("binary"), 256))
-    joined = F.array_join(blocks, "")
 
-    def number(i: Column) -> Column:
-        hexed = F.concat(F.substring(joined, i * 4 + 3, F.lit(2)), F.substring(joined, i * 4 + 1, F.lit(2)))  # low byte first
-        return F.conv(hexed, 16, 10).cast("int")
+    def numbers(block: Column) -> Column:  # each block is hashed once, as the lambda's argument
+        hexed = lambda i: F.concat(F.substring(block, i * 4 + 3, F.lit(2)), F.substring(block, i * 4 + 1, F.lit(2)))  # noqa: E731  low byte first
+        return F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: F.conv(hexed(i), 16, 10).cast("int"))
 
-    return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), number)
+    return F.slice(F.flatten(F.transform(blocks, numbers)), 1, dim)
 
 
 def dot(a: Column, b: Column) -> Column:

@@ -76,8 +76,9 @@ def oracle_sql() -> dict[str, str]:
         "cooccurrences": f"""WITH {_SENTENCES} SELECT a.word, b.word AS neighbour, count(*) AS n FROM live a JOIN live b
             ON a.id = b.id AND a.sentence = b.sentence AND a.place <> b.place AND abs(a.place - b.place) <= 3 GROUP BY a.word, b.word""",
         "identity_numbers": f"""WITH {_SENTENCES}, words AS (SELECT DISTINCT word FROM tokens), blocks AS (
-            SELECT word, array_to_string(list_transform(range(128), lambda b: sha256(word || ':' || b)), '') AS h FROM words)
-            SELECT word, md5(array_to_string(list_transform(range(2048), lambda i: CAST(('0x' || substr(h, CAST(i * 4 + 3 AS INTEGER), 2) || substr(h, CAST(i * 4 + 1 AS INTEGER), 2)) AS INTEGER)), ' ')) AS numbers FROM blocks""",
+            SELECT word, list_transform(range(128), lambda b: sha256(word || ':' || b)) AS hashes FROM words)
+            SELECT word, md5(array_to_string(flatten(list_transform(hashes, lambda h: list_transform(range(16), lambda i:
+                CAST(('0x' || substr(h, CAST(i * 4 + 3 AS INTEGER), 2) || substr(h, CAST(i * 4 + 1 AS INTEGER), 2)) AS INTEGER)))), ' ')) AS numbers FROM blocks""",
         "idf": f"""WITH seen AS (SELECT unnest(list_distinct({_tokens('text')})) AS word FROM documents)
             SELECT word, count(*) AS df, round(ln((SELECT count(*) FROM documents) / count(*)), 6) AS idf FROM seen GROUP BY word""",
         "postings": f"WITH {_TERMS} SELECT term, id, count(*) AS tf, string_agg(CAST(position AS VARCHAR), ' ' ORDER BY position) AS positions, CAST(any_value(length) AS INTEGER) AS length FROM places JOIN lengths USING (id) GROUP BY term, id",
