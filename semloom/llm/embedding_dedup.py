@@ -1,9 +1,9 @@
 """Near-duplicate embeddings: coarse inverted lists, product-quantised residuals, asymmetric distances, exact cosine.
 
 Vectors are scaled to length 1, so a cosine of at least t is a distance of at most r = sqrt(2 - 2 t). Coarse and subspace centroids
-are fitted to all vectors by Lloyd's steps, each one pass with small sums. Every vector is a query: it probes each list that a vector
-within r could plausibly lie in (see ``slack``), its distances to the list's members are looked up from tables over their codes, and
-those that could be within r are compared exactly.
+are fitted to all vectors by Lloyd's steps, each one pass with small sums. Every vector is a query: it probes each list whose border with
+its own is at most r / 2 away, as one of any two vectors within r does, its distances to the list's members are looked up from tables over
+their codes, and those that are at most r more than what the codes miss are compared exactly. No pair is left out.
 """
 
 from __future__ import annotations
@@ -22,16 +22,22 @@ from .components import report
 THRESHOLD = 0.9
 SUBSPACES, CODES = 8, 256
 COARSE_STEPS, CODE_STEPS = 4, 4
-#: A step of length r in a random direction of d dimensions moves along a given one by about r / sqrt(d); this many times that is allowed
-#: for, in choosing probes and in bounding looked-up distances.
-SLACK = 3.0
+#: Cosines of vectors in single precision this near the threshold are computed again, from the embeddings as given.
+UNSURE = 1e-6
 #: Members and queries that meet in one task; larger lists are split into blocks of each.
 BLOCK = 8192
 
 
-def slack(threshold: float, dim: int) -> float:
-    """How far towards another list's centroid a vector within the threshold may lie."""
-    return min(1.0, SLACK / sqrt(dim)) * sqrt(max(0.0, 2 - 2 * threshold))
+def distance(threshold: float) -> float:
+    """How far apart two vectors of the threshold are at most, in single precision."""
+    return sqrt(max(0.0, 2 - 2 * (threshold - UNSURE)))
+
+
+def margins(x: np.ndarray, own: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """How far vectors lie from the border between their own and other centroids (a row each); the same wherever it is computed."""
+    x, own, other = (v.astype(np.float64) for v in (x, own, other))
+    apart = own - other
+    return ((x * apart).sum(1) + ((other**2).sum(1) - (own**2).sum(1)) / 2) / np.sqrt(np.maximum((apart**2).sum(1), 1e-300))
 
 
 def matrix(column: pa.Array, dim: int) -> np.ndarray:
@@ -117,18 +123,20 @@ def fit(vectors: DataFrame, n: int, dim: int) -> tuple[np.ndarray, np.ndarray]:
     return coarse, books
 
 
-def probes(x: np.ndarray, lists: np.ndarray, coarse: np.ndarray, radius: np.ndarray, reach: float, r: float) -> tuple[np.ndarray, np.ndarray]:
-    """(vector, list) for all lists that the vector probes: those whose border with its own is at most ``reach`` away, and that have a
-    vector at most ``radius`` from their centroid, hence maybe one at most ``r`` from this. Of two lists only the vectors of the lower
-    one probe the other: a pair's vectors are on both sides of the border, and neither farther from it than the other."""
+def probes(x: np.ndarray, lists: np.ndarray, coarse: np.ndarray, radius: np.ndarray, r: float) -> tuple[np.ndarray, np.ndarray]:
+    """(vector, list) for all lists that the vector probes: those whose border with its own is at most ``r`` / 2 away, and that have a
+    vector at most ``radius`` from their centroid, hence maybe one at most ``r`` from this. Of vectors on both sides of a border the
+    distances from it add up to at most their own, so one of two within ``r`` probes the other's list."""
     who, what = [], []
+    exact = coarse.astype(np.float64)
     for i in range(0, len(x), 1024):
         d = squared(x[i : i + 1024], coarse)
         own = lists[i : i + 1024]
         each, which = np.unique(own, return_inverse=True)
-        apart = np.sqrt(squared(coarse[each], coarse))[which]
-        hit = d - d[np.arange(len(own)), own][:, None] <= 2 * reach * apart + 1e-6
-        hit &= (np.sqrt(d) <= radius + r + 1e-3) & (np.arange(len(coarse)) >= own[:, None])
+        apart = np.sqrt(squared(exact[each], exact))[which]
+        hit = d - d[np.arange(len(own)), own][:, None] <= r * apart + 1e-5
+        hit &= np.sqrt(d) <= radius + r + 1e-3
+        hit[np.arange(len(own)), own] = True
         a, b = np.nonzero(hit)
         who.append(a + i)
         what.append(b)
@@ -148,60 +156,97 @@ def _indexed(dim: int, sent):
     return run
 
 
-def _probing(dim: int, reach: float, r: float, sent, radii):
+def _probing(dim: int, r: float, sent, radii):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coarse, _ = sent.value
         for batch in batches:
             if batch.num_rows:
-                who, what = probes(matrix(batch.column("x"), dim), batch.column("list").to_numpy(), coarse, radii.value, reach, r)
-                got = batch.select(["id", "x"]).take(pa.array(who))
-                yield pa.record_batch([got.column(0), got.column(1), pa.array(what.astype(np.int32))], names=["id", "x", "list"])
+                who, what = probes(matrix(batch.column("x"), dim), batch.column("list").to_numpy(), coarse, radii.value, r)
+                for i in range(0, len(who), 1 << 14):
+                    got = batch.select(["id", "x", "list"]).take(pa.array(who[i : i + (1 << 14)]))
+                    yield pa.record_batch([got.column(0), got.column(1), got.column(2), pa.array(what[i : i + (1 << 14)].astype(np.int32))], names=["id", "x", "own", "list"])
 
     return run
 
 
-def _root(parent: dict[int, int], a: int) -> int:
-    while (b := parent.setdefault(a, a)) != a:
-        parent[a] = parent.setdefault(b, b)
-        a = parent[a]
-    return a
+class Classes:
+    """Components of numbers below ``n``."""
+
+    def __init__(self, n: int):
+        self.parent = np.arange(n)
+
+    def _root(self, a: int) -> int:
+        while (b := int(self.parent[a])) != a:
+            a = b
+        return a
+
+    def unite(self, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
+        """Connects pairs; gives those of them that connected what wasn't."""
+        out = []
+        while True:
+            apart = self.parent[a] != self.parent[b]
+            a, b = a[apart], b[apart]
+            if not len(a):
+                return out
+            for s, t in zip(a[:1024].tolist(), b[:1024].tolist()):
+                u, v = self._root(s), self._root(t)
+                if u != v:
+                    self.parent[max(u, v)] = min(u, v)
+                    out.append((s, t))
+            while (up := self.parent[self.parent]).tobytes() != self.parent.tobytes():
+                self.parent = up
+
 
+def search_block(ids: np.ndarray, x: np.ndarray, codes: np.ndarray, missed: np.ndarray, q_ids: np.ndarray, q: np.ndarray, q_own: np.ndarray, own: int, coarse: np.ndarray, books: np.ndarray, threshold: float) -> tuple[list[tuple[int, int]], dict[int, int], list[tuple[int, int]]]:
+    """Of the members of list ``own`` and queries of the lists ``q_own``: (pairs of at least the threshold that connect all such pairs; in how
+    many such pairs each is; pairs too near the threshold to tell).
 
-def search_block(ids: np.ndarray, x: np.ndarray, codes: np.ndarray, missed: np.ndarray, q_ids: np.ndarray, q: np.ndarray, centre: np.ndarray, books: np.ndarray, threshold: float) -> list[tuple[int, int]]:
-    """Pairs of queries and members of one list of at least the threshold, less those that other pairs already connect."""
-    reach, r2 = slack(threshold, x.shape[1]), 2 - 2 * threshold
-    limit = missed**2 + r2 + 2 * missed * reach + 1e-6
-    parent: dict[int, int] = {}
-    out = []
+    A pair counts where the query is the nearer one to the border of their lists, within a list where it has the lower id: once altogether."""
+    limit = (missed + distance(threshold)) ** 2 + 1e-5
+    every, number = np.unique(np.r_[ids, q_ids], return_inverse=True)
+    member, query = number[: len(ids)], number[len(ids) :]
+    classes, degree = Classes(len(every)), np.zeros(len(every), np.int64)
+    edges, unsure = [], []
     for i in range(0, len(q), 256):
-        part = (q[i : i + 256] - centre).reshape(-1, SUBSPACES, books.shape[2])
+        part = (q[i : i + 256] - coarse[own]).reshape(-1, SUBSPACES, books.shape[2])
         tables = [squared(part[:, m], books[m]) for m in range(SUBSPACES)]
-        distance = tables[0][:, codes[:, 0]]
+        looked_up = tables[0][:, codes[:, 0]]
         for m in range(1, SUBSPACES):
-            distance += tables[m][:, codes[:, m]]
-        a, b = np.nonzero(distance <= limit)
+            looked_up += tables[m][:, codes[:, m]]
+        a, b = np.nonzero(looked_up <= limit)
         for j in range(0, len(a), 1 << 15):  # exact, a bounded number at a time
-            aa, bb = a[j : j + (1 << 15)], b[j : j + (1 << 15)]
-            good = np.einsum("ij,ij->i", q[i + aa].astype(np.float64), x[bb]) >= threshold
-            for s, t in zip(q_ids[i + aa[good]].tolist(), ids[bb[good]].tolist()):
-                u, v = _root(parent, s), _root(parent, t)
-                if u != v:
-                    parent[max(u, v)] = min(u, v)
-                    out.append((s, t))
-    return out
+            aa, bb = i + a[j : j + (1 << 15)], b[j : j + (1 << 15)]
+            cosine = np.einsum("ij,ij->i", q[aa].astype(np.float64), x[bb].astype(np.float64))
+            near = np.flatnonzero(cosine >= threshold - UNSURE)
+            aa, bb, cosine = aa[near], bb[near], cosine[near]
+            home = np.broadcast_to(coarse[own], q[aa].shape)
+            mine, its = margins(q[aa], coarse[q_own[aa]], home), margins(x[bb], home, coarse[q_own[aa]])
+            counts = np.where(q_own[aa] == own, q_ids[aa] < ids[bb], (mine < its) | ((mine == its) & (q_own[aa] < own)))
+            aa, bb, sure = query[aa[counts]], member[bb[counts]], cosine[counts] >= threshold + UNSURE
+            unsure += zip(every[aa[~sure]].tolist(), every[bb[~sure]].tolist())
+            aa, bb = aa[sure], bb[sure]
+            if len(aa):
+                degree += np.bincount(np.r_[aa, bb], minlength=len(every))
+                edges += [(int(every[s]), int(every[t])) for s, t in classes.unite(aa, bb)]
+    linked = np.flatnonzero(degree)
+    return edges, dict(zip(every[linked].tolist(), degree[linked].tolist())), unsure
+
+
+EDGE, DEGREE, OPEN = 0, 1, 2  # kinds of what a search finds: (one, other), (one, its number of links), (one, other) to be told from the embeddings
 
 
 def _searched(dim: int, threshold: float, sent):
     def run(members: pa.Table, queries: pa.Table) -> pa.Table:
         coarse, books = sent.value
-        pairs = []
+        found: tuple = [], {}, []
         if members.num_rows and queries.num_rows:
             codes = np.frombuffer(b"".join(members["codes"].to_pylist()), np.uint8).reshape(-1, SUBSPACES)
-            pairs = search_block(
+            found = search_block(
                 members["id"].to_numpy(), matrix(members["x"], dim), codes, members["missed"].to_numpy(), queries["id"].to_numpy(), matrix(queries["x"], dim),
-                coarse[members["list"][0].as_py()], books, threshold,
+                queries["own"].to_numpy(), members["list"][0].as_py(), coarse, books, threshold,
             )
-        return pa.table({"a": pa.array([p[0] for p in pairs], pa.int64()), "b": pa.array([p[1] for p in pairs], pa.int64())})
+        rows = [(kind, *p) for kind, pairs in ((EDGE, found[0]), (DEGREE, found[1].items()), (OPEN, found[2])) for p in pairs]
+        return pa.table({n: pa.array([r[k] for r in rows], t) for k, (n, t) in enumerate((("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64())))})
 
     return run
 
@@ -209,10 +254,9 @@ def _searched(dim: int, threshold: float, sent):
 def near_duplicate_vectors(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(vec_id, class_id, n_links) of each vector of ``rows`` (vec_id, embedding) linked to another by a cosine of at least ``threshold``.
 
-    A class is a connected component, class_id its smallest vec_id; n_links is the number of other vectors that it was found linked to
-    (pairs that others connect by then aren't listed) or is equal to. Every vector is a query, and no list, probe or candidate
-    is capped. A pair is missed only where its difference points at a list's border, or along the codes' error, by more than SLACK
-    times the usual.
+    A class is a connected component, class_id its smallest vec_id; n_links is the number of different vectors that it is linked to, each
+    once however many ids have it, and of other ids that have an equal one. Every vector is a query, no list, probe or candidate is capped,
+    and no link is left out. Vectors of length 1 that are equal in single precision are equal.
 
     A null vec_id, a null or empty embedding, one with a null, NaN or infinite element, of length 0, or of another dimension than most (of
     equally frequent ones the largest) is in no class. Repeated rows and equal vectors are linked; a vec_id alone is no class however
@@ -231,30 +275,49 @@ def near_duplicate_vectors(rows: DataFrame, threshold: float = THRESHOLD) -> Dat
     # dimensions that the subspaces don't divide get zeros at the end
     wide = -(-dim // SUBSPACES) * SUBSPACES
     unit = F.transform(F.concat("embedding", F.array_repeat(F.lit(0.0), wide - dim)), lambda v: (v / F.col("norm")).cast("float"))
-    units = known.where(F.size("embedding") == dim).withColumn("norm", norm).where("norm > 0 AND norm < double('Infinity')").select("vec_id", unit.alias("x"))
+    units = known.where(F.size("embedding") == dim).withColumn("norm", norm).where("norm > 0 AND norm < double('Infinity')").select("vec_id", unit.alias("x"), "embedding")
     nodes = units.groupBy("x").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("n"))
     nodes = storage.cut(nodes.withColumn("id", F.monotonically_increasing_id()))
     n = nodes.count()
-    links = _linked(nodes.select("id", "x"), n, dim, wide, threshold) if n > 1 else empty
+    if n < 2:
+        links, degree = empty, empty.toDF("node", "degree")
+    else:
+        found = _found(nodes.select("id", "x"), n, wide, threshold)
+        links, degree = _links(found, nodes, units, threshold)
     single = nodes.where("n = 1").join(links.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id")
-    several = units.join(storage.small(nodes.where("n > 1").select("x", "id")), "x")
-    return report(single.select("vec_id", F.col("id").alias("node")).union(several.select("vec_id", F.col("id").alias("node"))), links, "vec_id")
-
-
-def _linked(vectors: DataFrame, n: int, dim: int, wide: int, threshold: float) -> DataFrame:
-    """(a, b): different vectors within the threshold, as many pairs as connect them."""
+    several = units.drop("embedding").join(storage.small(nodes.where("n > 1").select("x", "id")), "x")
+    return report(single.select("vec_id", F.col("id").alias("node")).union(several.select("vec_id", F.col("id").alias("node"))), links, "vec_id", degree)
+
+
+def _links(found: DataFrame, nodes: DataFrame, units: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """((a, b): linked vectors, as many pairs as connect them; (node, degree): the number of vectors that each is linked to)."""
+    links, degree = found.where(F.col("kind") == EDGE).select("a", "b"), found.where(F.col("kind") == DEGREE).select(F.col("a").alias("node"), F.col("b").alias("degree"))
+    near = found.where(F.col("kind") == OPEN).select("a", "b")
+    if not near.isEmpty():
+        ids = near.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        given = storage.cut(nodes.join(ids, "id").select("id", "x").join(units, "x").groupBy("id").agg(F.min("embedding").alias("e")))
+        dot = lambda u, v: F.aggregate(F.zip_with(u, v, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+        both = near.join(given.toDF("a", "u"), "a").join(given.toDF("b", "v"), "b")
+        more = storage.cut(both.where(dot("u", "v") / (F.sqrt(dot("u", "u")) * F.sqrt(dot("v", "v"))) >= threshold).select("a", "b"))
+        links = links.union(more)
+        degree = degree.union(more.select(F.explode(F.array("a", "b")).alias("node"), F.lit(1).cast("bigint").alias("degree")))
+    return links, degree.groupBy("node").agg(F.sum("degree").alias("degree"))
+
+
+def _found(vectors: DataFrame, n: int, wide: int, threshold: float) -> DataFrame:
+    """(kind, a, b): what ``search_block`` finds of different vectors."""
     sc = vectors.sparkSession.sparkContext
     sent = sc.broadcast(fit(vectors, n, wide))  # centroids: the square root of the number of vectors
     members = storage.cut(vectors.mapInArrow(_indexed(wide, sent), "id bigint, x array<float>, list int, codes binary, missed double, radius double"))
     radius = np.zeros(len(sent.value[0]))
     for r in members.groupBy("list").agg(F.max("radius").alias("radius")).collect():
         radius[r["list"]] = r["radius"]
-    probing = _probing(wide, slack(threshold, dim), sqrt(max(0.0, 2 - 2 * threshold)), sent, sc.broadcast(radius))
-    asking = storage.cut(members.select("id", "x", "list").mapInArrow(probing, "id bigint, x array<float>, list int"))
+    probing = _probing(wide, distance(threshold), sent, sc.broadcast(radius))
+    asking = storage.cut(members.select("id", "x", "list").mapInArrow(probing, "id bigint, x array<float>, own int, list int"))
     members = members.drop("radius")
     sizes = members.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("m_blocks")).join(asking.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("q_blocks")), "list")
     blocks = storage.small(storage.cut(sizes))
     side = lambda df, own, other: df.join(blocks, "list").withColumn(own, F.pmod(F.xxhash64("id"), F.col(f"{own}_blocks")).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.col(f"{other}_blocks") - 1))).drop("m_blocks", "q_blocks")
     keys = ["list", "m", "q"]
-    pairs = side(members, "m", "q").groupBy(*keys).cogroup(side(asking, "q", "m").groupBy(*keys)).applyInArrow(_searched(wide, threshold, sent), "a bigint, b bigint")
-    return storage.cut(pairs.where("a <> b").distinct())
+    pairs = side(members, "m", "q").groupBy(*keys).cogroup(side(asking, "q", "m").groupBy(*keys)).applyInArrow(_searched(wide, threshold, sent), "kind int, a bigint, b bigint")
+    return storage.cut(pairs)

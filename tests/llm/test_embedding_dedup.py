@@ -61,6 +61,29 @@ def test_looked_up_distances():
     assert np.allclose(missed, np.linalg.norm(x - back, axis=1), atol=1e-3)
 
 
+@pytest.mark.parametrize("dim,block", [(64, 8192), (64, 40), (20, 8192)])
+def test_every_link_counts(spark, monkeypatch, dim, block):
+    monkeypatch.setattr(ed, "BLOCK", block)
+    rng = np.random.default_rng(dim + block)
+    angle = rng.permutation(300) * 2 * np.pi / 300
+    circle = np.zeros((300, dim))  # all differences point at borders
+    circle[:, 3], circle[:, 11] = np.cos(angle), np.sin(angle)
+    x = np.r_[circle, rng.normal(size=(400, dim))]
+    x = np.r_[x, x[300:340] + 0.2 * rng.normal(size=(40, dim))].astype(np.float32).astype(float)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    cosines = unit @ unit.T
+    assert (abs(cosines - 0.9) > 1e-9).all()
+    want = {i: int(n) for i, n in enumerate((cosines >= 0.9).sum(1) - 1) if n}
+    got = ed.near_duplicate_vectors(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")).collect()
+    assert {r["vec_id"]: r["n_links"] for r in got} == want and len(got) == len(want)
+
+
+def test_links_at_the_threshold(spark):
+    rows = [(1, [1.0, 0.0, 0.0, 0.0]), (2, [9.0, 3.0, 3.0, 1.0]), (3, [-9.0, 3.0, 3.0, 1.001]), (4, [-1.0, 0.0, 0.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    assert sorted(map(tuple, ed.near_duplicate_vectors(df).collect())) == [(1, 1, 1), (2, 1, 1)]
+
+
 def test_odd_rows(spark):
     nan, inf = float("nan"), float("inf")
     rows = [
