@@ -13,10 +13,14 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from semloom.functions.kept import bounded
+
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 LIMIT = 20
 #: Terms of queries that are sent to every task at most.
 ASKED = 1_000_000
+#: Terms of documents that are put in order at a time; a longer document is a step of its own.
+STEP = 1 << 18
 
 
 class _Folding(dict):
@@ -70,32 +74,41 @@ class Index(NamedTuple):
     totals: DataFrame
 
 
+def _steps(size: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of rows that have STEP terms together at most, or one row."""
+    total, row = np.cumsum(size), 0
+    while row < len(size):
+        end = max(row + 1, int(np.searchsorted(total, (total[row - 1] if row else 0) + STEP, "right")))
+        yield row, end
+        row = end
+
+
 def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        lists = batch.column("terms")
-        coded = lists.flatten().dictionary_encode()
-        codes = coded.indices.to_numpy().astype(np.int64)
-        size = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
-        row = np.repeat(np.arange(len(size)), size)
-        position = (np.arange(len(codes)) - np.repeat(np.cumsum(size) - size, size)).astype(np.int32)
-        key = row * (len(coded.dictionary) + 1) + codes
-        order = np.argsort(key, kind="stable")
-        first = np.flatnonzero(np.r_[True, np.diff(key[order]) != 0]) if len(key) else np.zeros(0, np.int64)
-        border = np.r_[first, len(key)].astype(np.int32)
-        yield pa.record_batch(
-            [
-                coded.dictionary.take(pa.array(codes[order][first])).cast(pa.string()), batch.column("id").cast(pa.int64()).take(pa.array(row[order][first])),
-                pa.array(np.diff(border).astype(np.int64)), pa.ListArray.from_arrays(pa.array(border), pa.array(position[order])), pa.array(size[row[order][first]].astype(np.int32)),
-            ],
-            names=["term", "id", "tf", "positions", "length"],
-        )
+    for whole in batches:
+        sizes = pc.fill_null(pc.list_value_length(whole.column("terms")), 0).to_numpy()
+        for start, end in _steps(sizes):
+            batch, size = whole.slice(start, end - start), sizes[start:end]
+            coded = batch.column("terms").flatten().dictionary_encode()
+            codes = coded.indices.to_numpy().astype(np.int64)
+            row = np.repeat(np.arange(len(size)), size)
+            position = (np.arange(len(codes)) - np.repeat(np.cumsum(size) - size, size)).astype(np.int32)
+            key = row * (len(coded.dictionary) + 1) + codes
+            order = np.argsort(key, kind="stable")
+            first = np.flatnonzero(np.r_[True, np.diff(key[order]) != 0]) if len(key) else np.zeros(0, np.int64)
+            border = np.r_[first, len(key)].astype(np.int32)
+            yield pa.record_batch(
+                [
+                    coded.dictionary.take(pa.array(codes[order][first])).cast(pa.string()), batch.column("id").cast(pa.int64()).take(pa.array(row[order][first])),
+                    pa.array(np.diff(border).astype(np.int64)), pa.ListArray.from_arrays(pa.array(border), pa.array(position[order])), pa.array(size[row[order][first]].astype(np.int32)),
+                ],
+                names=["term", "id", "tf", "positions", "length"],
+            )
 
 
 def build_index(docs: DataFrame, fold: bool = True) -> Index:
-    """Of ``docs`` (id, text), one row an id. A document's postings are all in its row, so nothing is shuffled."""
-    split = docs.select("id", terms(F.col("text"), fold).alias("terms"))
+    """Of ``docs`` (id, text), one row an id. A document's postings are all in its row, so nothing is shuffled, and a worker holds those of a
+    bounded batch."""
+    split = bounded(docs).select("id", terms(F.col("text"), fold).alias("terms"))
     postings = split.mapInArrow(_postings, "term string, id bigint, tf bigint, positions array<int>, length int")
     return Index(postings, split.agg(F.count("*").alias("documents"), F.avg(F.size("terms")).alias("average")))
 

@@ -1,5 +1,6 @@
 import sqlite3
 
+import pyarrow as pa
 import pytest
 
 from semloom.operators import lexical
@@ -64,3 +65,15 @@ def test_search_for_any_of_many_terms(spark, index, monkeypatch):
     assert sent and sent == key(lexical.search_any(index, asked, 5))
     single = {r["id"]: r["score"] for r in lexical.search(index, "kernel OR of OR the OR old").collect()}
     assert {i: s for item, i, s, _ in sent if item == 3} == pytest.approx({i: single[i] for item, i, _, _ in sent if item == 3}, abs=1e-8)
+
+
+def test_a_large_batch_is_put_in_order_in_steps(spark):
+    lists = [[f"t{j % 700}" for j in range(3000)]] * 400 + [None, []]
+    batch = pa.record_batch([pa.array(range(len(lists)), pa.int64()), pa.array(lists, pa.list_(pa.string()))], names=["id", "terms"])
+    got = list(lexical._postings(iter([batch])))
+    assert max(sum(b["tf"].to_pylist()) for b in got) <= lexical.STEP  # all 1,200,000 at once would be some 100 MB
+    rows = [r for b in got for r in b.to_pylist()]
+    assert len(rows) == 400 * 700 and sorted({r["id"] for r in rows}) == list(range(400))
+    assert all(r["length"] == 3000 and r["positions"] == list(range(int(r["term"][1:]), 3000, 700)) and r["tf"] == len(r["positions"]) for r in rows[::97])
+    lexical.build_index(spark.createDataFrame([(1, "a")], "id bigint, text string"))
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= 16 << 20
