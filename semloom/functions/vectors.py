@@ -5,11 +5,14 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 CACHED = 1 << 24
 _made: dict[int, dict[str, np.ndarray]] = {}
+#: Each 16-bit number with a blank behind it, made once in each worker.
+_written: list[np.ndarray] = []
 
 
 def identity_numbers(word: str, dim: int):
@@ -43,6 +46,23 @@ def identity_numbers_of(word: Column, dim: int) -> Column:
     return F.slice(F.flatten(F.transform(blocks, numbers)), 1, dim)
 
 
+def identity_digest_of(word: Column, dim: int) -> Column:
+    """The md5 of ``identity_numbers`` written with blanks between them, in hexadecimal; through Arrow."""
+
+    def digests(words: pa.Array) -> pa.Array:
+        if not _written:
+            _written.append(np.array([b"%d " % i for i in range(1 << 16)], "S6"))
+        out = []
+        for w in words.to_pylist():
+            if w is None:
+                out.append(None)
+            else:  # shorter numbers end with null bytes, which are left out
+                out.append(hashlib.md5(_written[0][identity_numbers(w, dim)].tobytes().replace(b"\0", b"")[:-1]).hexdigest())
+        return pa.array(out, pa.string())
+
+    return F.arrow_udf(digests, "string")(word)
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
