@@ -46,6 +46,26 @@ def identity_numbers_of(word: Column, dim: int) -> Column:
     return F.slice(F.flatten(F.transform(blocks, numbers)), 1, dim)
 
 
+def identities(words: list[str], dim: int) -> np.ndarray:
+    """(words x dim) of ``identity``, those that aren't known yet made together."""
+    made = _made.setdefault(dim, {})
+    if len(made) * dim >= CACHED:
+        made.clear()
+    found = [made.get(w) for w in words]
+    missing = [k for k, v in enumerate(found) if v is None]
+    if missing:
+        blocks, sha = [], hashlib.sha256
+        for k in missing:
+            word = words[k].encode()
+            blocks += [sha(b"%s:%d" % (word, i)).digest() for i in range(-(-dim // 16))]
+        x = np.frombuffer(b"".join(blocks), "<u2").reshape(len(missing), -1)[:, :dim] / 32768.0 - 1.0
+        x = (x / np.sqrt([row.dot(row) for row in x])[:, None]).astype(np.float32)
+        x.flags.writeable = False
+        for k, row in zip(missing, x):
+            found[k] = made[words[k]] = row
+    return np.array(found, np.float32).reshape(-1, dim)
+
+
 def identity_digest_of(word: Column, dim: int) -> Column:
     """The md5 of ``identity_numbers`` written with blanks between them, in hexadecimal; through Arrow."""
 

@@ -12,13 +12,16 @@ from functools import cache
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from semloom.functions.vectors import identity
+from semloom.functions.vectors import identities, identity
 
 PLACE = ["source", "doc_seq", "sentence"]
+#: Rows whose neighbours are added up at a time.
+ROWS = 1 << 13
 
 
 class Settings(NamedTuple):
@@ -99,47 +102,91 @@ def indexed(limits: DataFrame, tokens: DataFrame, first: int = 0, buckets: int =
     return placed.withColumn("n", F.row_number().over(by)).join(F.broadcast(offsets), ["source", "range"]).select("word", (F.col("n") - 1 + F.col("offset") + first).cast("bigint").alias("idx"))
 
 
+def _totals(neighbours: pa.ListArray, dim: int) -> np.ndarray:
+    """The sum of each row's neighbours' identity vectors, added in their order: one neighbour of every row at a time."""
+    size = pc.fill_null(pc.list_value_length(neighbours), 0).to_numpy()
+    coded = neighbours.flatten().dictionary_encode()
+    known = identities(coded.dictionary.to_pylist(), dim)
+    codes, first = coded.indices.to_numpy(), np.cumsum(size) - size
+    out = np.zeros((len(size), dim), np.float32)
+    for k in range(size.max(initial=0)):
+        rows = np.flatnonzero(size > k)
+        out[rows] += known[codes[first[rows] + k]]
+    return out
+
+
+def _starts(columns: list[pa.Array]) -> np.ndarray:
+    """Which rows differ from the one before in any of some columns; the first does."""
+    new = np.zeros(len(columns[0]), bool)
+    new[:1] = True
+    for c in columns:
+        codes = c.dictionary_encode("encode").indices.to_numpy() if pa.types.is_string(c.type) else pc.fill_null(c, -1).to_numpy(zero_copy_only=False)
+        new[1:] |= codes[1:] != codes[:-1]
+    return new
+
+
 def _fold(dim: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         word, place, memory = None, None, None
         words: list[str] = []
         memories: list[np.ndarray] = []
 
         def settle():
-            length = np.linalg.norm(memory)
-            if length > 0:
-                memory[:] = memory / length
-
-        for batch in batches:
-            for w, source, doc, sentence, neighbours, prior in zip(batch["word"], batch["source"], batch["doc_seq"], batch["sentence"], batch["neighbours"], batch["prior"]):
-                if w != word:
-                    if word is not None:
-                        if place is not None:
+            square = memory.dot(memory)
+            if square > 0:
+                np.divide(memory, np.sqrt(square), out=memory)
+
+        def made() -> pa.RecordBatch:
+            flat = np.concatenate(memories) if memories else np.zeros(0, np.float32)
+            vectors = pa.ListArray.from_arrays(pa.array(np.arange(len(words) + 1, dtype=np.int32) * dim), pa.array(flat))
+            out = pa.record_batch([pa.array(words, pa.string()), vectors], names=["word", "memory"])
+            words.clear()
+            memories.clear()
+            return out
+
+        for whole in batches:
+            for start in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(start, ROWS)
+                column = batch.column
+                n = batch.num_rows
+                totals = _totals(column("neighbours"), dim)
+                new_word = _starts([column("word")])
+                first = np.flatnonzero(new_word | _starts([column(c) for c in PLACE]))
+                is_step = column("neighbours").is_valid().to_numpy(zero_copy_only=False)
+                for a, b, fresh in zip(first.tolist(), [*first[1:].tolist(), n], new_word[first].tolist()):
+                    if fresh:
+                        w = column("word")[a].as_py()
+                        if w != word:
+                            if word is not None:
+                                if place is not None:
+                                    settle()
+                                words.append(word)
+                                memories.append(memory)
+                            word, place = w, None
+                            prior = column("prior")[a]
+                            memory = np.array(prior.values, np.float32) if prior.is_valid else identity(w, dim).copy()
+                    if not is_step[a]:
+                        continue
+                    if a == 0:  # the batch before may have ended within this sentence
+                        here = tuple(column(c)[0].as_py() for c in PLACE)
+                        if place is not None and here != place:
                             settle()
-                        words.append(word)
-                        memories.append(memory)
-                    word, place = w, None
-                    memory = identity(w, dim).copy() if prior is None else np.array(prior, np.float32)
-                if neighbours is None:
-                    continue
-                here = (source, doc, sentence)
-                if place is not None and here != place:
-                    settle()
-                place = here
-                total = np.zeros(dim, np.float32)
-                for n in neighbours:
-                    total += identity(n, dim)
-                memory += total
-            if len(words) >= 256:
-                yield pd.DataFrame({"word": words, "memory": memories})
-                words, memories = [], []
+                    elif place is not None:
+                        settle()
+                    place = ()
+                    for i in range(a, b):
+                        memory += totals[i]
+                if is_step[n - 1]:
+                    place = tuple(column(c)[n - 1].as_py() for c in PLACE)
+                if len(words) >= 256:
+                    yield made()
         if word is not None:
             if place is not None:
                 settle()
             words.append(word)
             memories.append(memory)
         if words:
-            yield pd.DataFrame({"word": words, "memory": memories})
+            yield made()
 
     return run
 
@@ -154,7 +201,7 @@ def fold(rows: DataFrame, dim: int, prior: DataFrame | None = None, partitions:
     n = partitions or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # an explicit number: the fold is heavy for its bytes, so partitions aren't to be merged by size
     ordered = steps.repartition(n, "word").sortWithinPartitions("word", *[F.col(c).asc_nulls_first() for c in [*PLACE, "position"]])
-    return ordered.mapInPandas(_fold(dim), "word string, memory array<float>")
+    return ordered.mapInArrow(_fold(dim), "word string, memory array<float>")
 
 
 def train(sentences: DataFrame, settings: Settings = Settings(), prior: Model | None = None) -> Model:

@@ -1,4 +1,7 @@
+import hashlib
+
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from semloom.functions import vectors as V
@@ -82,3 +85,41 @@ def test_demo_bridge(spark, tmp_path):
     assert acceptance.verify(model, docs, checks) == []
     assert acceptance.verify(model, docs, {"semantic_pairs": [["shown", "nowhere", 0.2]]}) != []
     assert acceptance.probe(model, "qqq zzz", docs).count() == 0
+
+
+def test_digest_of_identity_numbers(spark):
+    words = ["the", "réunion", "<NUM>", "0"]
+    df = spark.createDataFrame([(w,) for w in words] + [(None,)], "w string").select("w", V.identity_digest_of(F.col("w"), 2048).alias("d"))
+    want = {w: hashlib.md5(" ".join(map(str, V.identity_numbers(w, 2048).tolist())).encode()).hexdigest() for w in words} | {None: None}
+    assert {r["w"]: r["d"] for r in df.collect()} == want
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "sha2" not in plan and "conv(" not in plan  # 2048 conversions of a word in interpreted lambdas took four fifths of the time
+
+
+def test_totals_are_added_in_order():
+    rng = np.random.default_rng(1)
+    rows = [[f"w{x}" for x in rng.integers(0, 9, n)] for n in (0, 1, 6, 3, 6)] + [None]
+    got = training._totals(pa.array(rows, pa.list_(pa.string())), 16)
+    for t, row in zip(got, rows):
+        total = np.zeros(16, np.float32)
+        for w in row or []:
+            total += V.identity(w, 16)
+        assert (t == total).all()
+
+
+def test_the_fold_goes_on_over_batches(spark, sentences):
+    memory, _, _ = sequential(sentences, 8, 2, 1)
+    rows = training.contexts(training.occurrences(frame(spark, sentences)), 2).withColumn("prior", F.lit(None).cast("array<float>"))
+    table = rows.orderBy("word", *training.PLACE, "position").toArrow().combine_chunks()
+    for size in (1, 7, 10_000):
+        got = pa.Table.from_batches(training._fold(8)(iter(table.to_batches(max_chunksize=size))))
+        assert {w: v for w, v in zip(got["word"].to_pylist(), got["memory"].to_pylist())} == {w: v.tolist() for w, v in memory.items()}
+
+
+def test_identities_made_together():
+    words = [f"w{i}" for i in range(300)] + ["réunion", "w3"]
+    V._made.clear()
+    together = V.identities(words, 40)
+    V._made.clear()
+    assert (together == np.array([V.identity(w, 40) for w in words])).all() and (V.identities(words, 40) == together).all()
+    assert V.identities([], 40).shape == (0, 40)
