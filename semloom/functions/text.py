@@ -47,11 +47,23 @@ def tokenize(text: Column, normalize: bool = True) -> Column:
     """Words of a text in order, numbers as one token, then the two-character windows of unspaced scripts.
 
     Only ``normalize`` leaves the JVM; texts that are known to be composed need it not."""
-    clean = F.regexp_replace(F.lower(nfkc(text) if normalize else text), f"(?U){LINK}", " ")
+    low = F.lower(nfkc(text) if normalize else text)
+    clean = F.when(low.contains("http"), F.regexp_replace(low, f"(?U){LINK}", " ")).otherwise(low)
+    return _once(clean, _split)
+
+
+def _once(value: Column, f) -> Column:
+    """``f`` of a value that is computed once, however often ``f`` refers to it."""
+    return F.transform(F.array(value), f)[0]
+
+
+def _split(clean: Column) -> Column:
+    word = F.lit(r"[\p{L}\p{N}][\p{L}\p{N}_'\-=]*")
+    unspaced = (F.octet_length(clean) > F.length(clean)) & clean.rlike(f"[{UNSPACED}]")  # few texts have any
+    number = lambda w: (w < ":") & w.rlike("^[0-9]+$")  # noqa: E731  the comparison spares most words the pattern
+    words = lambda t: F.transform(F.filter(F.regexp_extract_all(t, word, F.lit(0)), valid), lambda w: F.when(number(w), F.lit(NUMBER)).otherwise(w))
     pairs = F.regexp_extract_all(clean, F.lit(f"(?=([{UNSPACED}]{{2}}))"), F.lit(1))
-    spaced = F.regexp_replace(clean, f"[{UNSPACED}]", " ")
-    words = F.filter(F.regexp_extract_all(spaced, F.lit(r"[\p{L}\p{N}][\p{L}\p{N}_'\-=]*"), F.lit(0)), valid)
-    return F.concat(F.transform(words, lambda w: F.when(w.rlike("^[0-9]+$"), F.lit(NUMBER)).otherwise(w)), pairs)
+    return F.when(unspaced, F.concat(words(F.regexp_replace(clean, f"[{UNSPACED}]", " ")), pairs)).otherwise(words(clean))
 
 
 _url, _word, _unspaced = re.compile(LINK), re.compile(WORD_PATTERN), re.compile(f"[{UNSPACED}]")

@@ -306,3 +306,14 @@ def test_taken_over_model_and_changed_files(spark, tmp_path):
     with pytest.raises(ValueError):
         np.save(tmp_path / "bad.npy", matrix[:2])
         legacy.read_model(engine, str(tmp_path / "v.json"), str(tmp_path / "bad.npy"))
+
+
+def test_a_joined_vocabulary_sends_a_vector_once_a_block(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, " ".join(f"w{(i * j) % 37}" for j in range(200)) if i else "") for i in range(30)], "id bigint, text string").repartition(3)
+    vectors = spark.createDataFrame([(f"w{k}", [float(k % 5 - 2), 1.0 / (k + 1), 0.5]) for k in range(30)], "word string, memory array<float>")
+    sent = {r["id"]: r["vector"] for r in encoding.encode_all(docs, vectors, 3).collect()}
+    monkeypatch.setattr(encoding, "BROADCAST_NUMBERS", 0)
+    joined = encoding.encode_all(docs, vectors, 3)
+    assert {r["id"]: r["vector"] for r in joined.collect()} == sent and len(sent) == 30 and not any(sent[0])
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "posexplode" not in plan  # a row with a vector for each of the texts' 6,000 words before
