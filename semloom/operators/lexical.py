@@ -13,12 +13,14 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from semloom.functions.kept import bounded
+from semloom.functions.kept import bounded, cut
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 LIMIT = 20
 #: Terms of queries that are sent to every task at most.
 ASKED = 1_000_000
+#: Numbers of a table of terms by texts asked that is sent to every task at most (32 MB).
+SENT = 1 << 22
 #: Terms of documents that are put in order at a time; a longer document is a step of its own.
 STEP = 1 << 18
 
@@ -398,7 +400,7 @@ def search_any(index: Index, asked: DataFrame, limit: int = LIMIT) -> DataFrame:
     which each occurrence adds its part. Up to ASKED terms asked for are sent to every task; more are joined."""
     from pyspark.sql import Window
 
-    words = asked.select("item", F.explode(terms(F.col("text"))).alias("term")).groupBy("item", "term").agg(F.count("*").alias("times"))
+    words = cut(asked.select("item", F.explode(terms(F.col("text"))).alias("term")).groupBy("item", "term").agg(F.count("*").alias("times")))
     words = F.broadcast(words) if words.limit(ASKED + 1).count() <= ASKED else words
     known = index.postings.select("term", "id", "tf", "length").join(words.select("term").distinct(), "term", "left_semi")
     weights = known.groupBy("term").agg(F.count("*").alias("n")).crossJoin(F.broadcast(index.totals)).select("term", "average", _weight(F.col("n")).alias("weight"))
@@ -408,6 +410,83 @@ def search_any(index: Index, asked: DataFrame, limit: int = LIMIT) -> DataFrame:
     return found.withColumn("rank", place).where(F.col("rank") < limit)
 
 
+def _rows(batches: Iterator[pa.RecordBatch], known: pa.Array, rows: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Some rows of (id, terms) at a time, their lengths, and how often each has each of the terms ``known``."""
+    for whole in batches:
+        sizes = pc.fill_null(pc.list_value_length(whole.column("terms")), 0).to_numpy().astype(np.int64)
+        for start, end in ((i, j) for a, b in _steps(sizes) for i in range(a, b, rows) for j in (min(i + rows, b),)):
+            batch, size = whole.slice(start, end - start), sizes[start:end]
+            code = pc.fill_null(pc.index_in(batch.column("terms").flatten(), value_set=known), -1).to_numpy()
+            cell = (np.repeat(np.arange(len(size)), size) * len(known) + code)[code >= 0]
+            yield batch, size, np.bincount(cell, minlength=len(size) * len(known)).reshape(len(size), len(known))
+
+
+def _having(known: pa.Array):
+    """(term, n, length): how many documents have each term; under a null term how many there are, and their length."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, documents, length = np.zeros(len(known), np.int64), 0, 0
+        for _, size, tf in _rows(batches, known, 1024):
+            n, documents, length = n + (tf > 0).sum(0), documents + len(size), length + int(size.sum())
+        yield pa.record_batch([pa.array([*known.to_pylist(), None], pa.string()), pa.array([*n.tolist(), documents]), pa.array([0] * len(known) + [length])], names=["term", "n", "length"])
+
+    return run
+
+
+def _best_scored(sent, limit: int):
+    """(item, id, score) of a task's best documents for each text asked. A product of matrices tells which may be among them; those are summed
+    again term by term, so that equal documents have equal scores."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, items, factor, average = sent.value  # factor: (terms x items)
+        of = [np.flatnonzero(f) for f in factor.T]
+        ids, scores = [np.zeros(0, np.int64) for _ in items], [np.zeros(0) for _ in items]
+        least = np.zeros(len(items))
+        for batch, size, tf in _rows(batches, known, 1024):
+            part = tf * (K1 + 1) / (tf + (K1 * (1 - B + B * size / average))[:, None])
+            about = part @ factor
+            may = (about > 0) & (about > least * (1 - 1e-9))
+            number = batch.column("id").cast(pa.int64()).to_numpy()
+            for i in np.flatnonzero(may.any(0)):
+                rows = np.flatnonzero(may[:, i])
+                value = (part[rows][:, of[i]] * factor[of[i], i]).sum(1)
+                value, who = np.r_[scores[i], value], np.r_[ids[i], number[rows]]
+                best = np.lexsort((who, -value))[:limit]
+                scores[i], ids[i] = value[best], who[best]
+                if len(best) == limit:
+                    least[i] = scores[i][-1]
+        count = [len(x) for x in ids]
+        yield pa.record_batch([pa.array(np.repeat(items, count)), pa.array(np.concatenate([*ids, np.zeros(0, np.int64)])), pa.array(-np.concatenate([*scores, np.zeros(0)]))], names=["item", "id", "score"])
+
+    return run
+
+
+def search_texts(docs: DataFrame, asked: DataFrame, limit: int = LIMIT) -> DataFrame:
+    """``search_any`` of an index of ``docs`` (id, text) that isn't stored: two scans of the documents, the first for how many have each
+    term. Of each text asked a task keeps the best, so no pairs of texts and documents are shuffled. If there are more terms and texts than
+    SENT allows, an index is joined."""
+    from pyspark.sql import Window
+
+    words = cut(asked.select(F.col("item").cast("bigint").alias("item"), F.explode(terms(F.col("text"))).alias("term")).groupBy("item", "term").agg(F.count("*").alias("times")))
+    n_items, n_terms = words.agg(F.count_distinct("item"), F.count_distinct("term")).head()
+    if n_items * n_terms > SENT:
+        return search_any(build_index(docs), asked, limit)
+    rows = words.toArrow()
+    known, items = rows["term"].combine_chunks().unique().sort(), np.unique(rows["item"].to_numpy())
+    split = bounded(docs).select("id", terms(F.col("text")).alias("terms"))
+    counts = split.mapInArrow(_having(known), "term string, n bigint, length bigint").groupBy("term").agg(F.sum("n").alias("n"), F.sum("length").alias("length")).collect()
+    n = {r["term"]: r["n"] for r in counts}
+    documents, length = next(((r["n"], r["length"]) for r in counts if r["term"] is None), (0, 0))
+    weight = np.array([max(np.log((documents - k + 0.5) / (k + 0.5)), 0.0) or LEAST_IDF for k in (n.get(t, 0) for t in known.to_pylist())])
+    factor = np.zeros((len(known), len(items)))
+    at = pc.index_in(rows["term"], value_set=known).to_numpy()
+    factor[at, np.searchsorted(items, rows["item"].to_numpy())] = rows["times"].to_numpy() * weight[at]
+    sent = docs.sparkSession.sparkContext.broadcast((known, items, factor, length / documents if length else 1.0))
+    found = split.mapInArrow(_best_scored(sent, limit), "item bigint, id bigint, score double")
+    place = F.row_number().over(Window.partitionBy("item").orderBy("score", "id")) - 1
+    return found.withColumn("rank", place).where(F.col("rank") < limit)
+
+
 def search(index: Index, query: str, limit: int = LIMIT, sanitize: bool = False) -> DataFrame:
     """(id, score, rank) of the best documents; of equal scores the smaller id first. A query that isn't one finds nothing, unless
     ``sanitize`` has it tried again with blanks for all but ASCII letters and digits."""

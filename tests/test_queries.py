@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from semloom.operators import encoding, lexical, ranking, training
 from semloom.plans import queries as plans
@@ -87,3 +88,26 @@ def test_every_vector_is_a_query(spark, tables):
         want = sorted((-cosine(q, v), i) for i, v in x.items() if cosine(q, v) > 0.01)[:20]
         assert [got.pop((item, k)) for k in range(len(want))] == [(i, pytest.approx(-s, abs=1e-4)) for s, i in want]
     assert not got
+
+
+def test_search_of_texts_equals_that_of_an_index(spark, tables, monkeypatch):
+    d, docs, asked = tables
+    copies = [(100 + i, t, s) for i, t, s in docs]  # equal scores: the smaller id first, whatever the task
+    table = spark.createDataFrame([(i, t) for i, t, _ in docs + copies], "id bigint, text string").repartition(3)
+    texts = spark.createDataFrame(asked, "item bigint, text string")
+    got = {}
+    for r in lexical.search_texts(table, texts).orderBy("item", "rank").collect():
+        got.setdefault(r["item"], []).append((round(r["score"], 12), r["id"]))
+    assert got == {k: v for k, v in bm25(docs + copies, asked).items() if v}
+    assert lexical.search_texts(table.limit(0), texts).count() == 0 and lexical.search_texts(table, texts.limit(0)).count() == 0
+    monkeypatch.setattr(lexical, "SENT", 1)
+    assert lexical.search_texts(table, texts).count() == sum(map(len, got.values()))
+
+
+def test_fused_search_trains_once(spark, tables, monkeypatch):
+    folds, fold = [], training.fold
+    monkeypatch.setattr(training, "fold", lambda *a: folds.append(spark.sparkContext.accumulator(0)) or fold(*a).where(counting(folds[-1])(F.col("word"))))
+    counting = lambda n: F.udf(lambda w: n.add(1) or True, "boolean").asNondeterministic()
+    plans.fused_search(spark, tables[0]).collect()
+    words = training.train(plans.sentences(spark, tables[0])).vocabulary.where("idx IS NOT NULL").count()
+    assert [a.value for a in folds[:1]] == [words]  # it was three times as many
